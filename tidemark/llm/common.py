@@ -70,7 +70,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text: (64-bit hash of each word, word count per text, first word of each text)."""
-    parts = [t.split() for t in texts]
+    return hash_words([t.split() for t in texts])
+
+
+def hash_words(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts that are split already."""
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.empty(int(counts.sum()), dtype=object)
     flat[:] = list(chain.from_iterable(parts))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, minhash, packing, quality
+from tidemark.llm import decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def tokenizer(name: str) -> str:
     return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), tokenizer("word_bpe_49k.json"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = line_dedup.line_decisions(docs)
@@ -39,6 +43,23 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_extract.extract(pages, html_extract.fit(pages))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_quality, op8_decontamination, op9_best_fit_packing, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op8_decontamination, op9_best_fit_packing, op10_minhash, pipeline)}
 
 
 #: Lines by (doc_id, position); equal lines keep the first; near lines by all pairs that share eight code points at an end.

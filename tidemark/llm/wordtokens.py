@@ -66,7 +66,10 @@ class WordBpe:
         return np.array(ids, "<u2").tobytes()
 
     def __call__(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, text.split())), "<u2")
+        return self.of_words(text.split())
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u2")
 
 
 class PieceBpe:
