@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
+from tidemark.llm import compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op8_decontamination, op9_best_fit_packing, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, pipeline)}
 
 
 #: Lines by (doc_id, position); equal lines keep the first; near lines by all pairs that share eight code points at an end.
