@@ -9,8 +9,9 @@ threshold goes; all others are confirmed on the full sets, from the texts.
 
 No bucket is expanded into pairs.  First each member meets the smallest id of its buckets, the best estimate only, and
 confirmed links become components.  Then, in buckets that still hold more than one component, the members outside the
-bucket's largest component meet all members of other components.  Links inside a component change nothing, so none
-that matters is lost.  Components come from repeated minimum over links, stored in shared storage at each round.
+bucket's largest component are compared with the members of other components, inside a join that only lets links out:
+sizes, then estimates, then intersections of 32-bit hashes.  Links inside a component change nothing, so none that
+matters is lost.  Components come from repeated minimum over links, stored in shared storage at each round.
 
 Edge cases: null, empty and blank texts have the empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; rows that share a doc_id are one node, and their sets link it together; rows without doc_id
@@ -113,7 +114,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     pairs = stash(pairs, "pairs")
     ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stash(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), "pair-texts")
+    texts = stash(docs.select("doc_id", "text").where("text is not null").join(some, "doc_id", "left_semi"), "pair-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +132,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return rows.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
+def _short_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id and the set of 32-bit shingle hashes of the named documents.  Equal hashes of different shingles only add to an
+    intersection, so that no link is lost; what they add is found when the full sets confirm."""
+    ids = stash(ids, "set-ids")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            short = [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingle_hashes(texts, shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.list_(pa.int32()))], ["id", "short"])
+
+    return docs.select("doc_id", "text").join(some, "doc_id", "left_semi").mapInArrow(cut, "id long, short array<int>")
+
+
 def exact_shingles(text: bytes, shingle: int) -> set:
     words = text.lower().split()
     if not words:
@@ -145,18 +160,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     sets = stash(sets, "sets")
-    buckets = sets.select("id", F.explode("bands").alias("band"))
+    buckets = sets.select("id", F.posexplode("bands").alias("at", "band"))
     # Only buckets with two sets or more matter; most have one.
     shared = buckets.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = stash(buckets.join(shared.select("band", "low"), "band"), "buckets")
     about = sets.select("id", "signature", "n_shingles")
+    possible = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate("sa", "sb") >= percent / 100 - 0.25)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs a, b with the estimate; those that cannot reach the threshold are left out."""
         a, b = (about.select(F.col("id").alias(s), F.col("signature").alias(f"s{s}"), F.col("n_shingles").alias(f"n{s}")) for s in ("a", "b"))
-        full = pairs.join(a, "a").join(b, "b").withColumn("estimate", estimate("sa", "sb"))
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return full.where(fits & (F.col("estimate") >= percent / 100 - 0.25)).select("a", "b", "estimate")
+        return pairs.join(a, "a").join(b, "b").where(possible).select("a", "b", estimate("sa", "sb").alias("estimate"))
 
     stars = plausible(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     best = stars.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b")
@@ -167,13 +181,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = stash(links.union(of_doc.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))), "first-links")
     roots = components(links)
 
-    placed = members.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    placed = members.select("band", "at", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "at", "id", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("most.root").alias("most"))
-    mixed = stash(placed.join(mixed, "band"), "mixed-buckets")
-    few, all_ = mixed.where("root <> most").select("band", F.col("id").alias("x"), F.col("root").alias("rx")), mixed.select("band", F.col("id").alias("y"), F.col("root").alias("ry"))
-    cross = few.join(all_, "band").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(plausible(cross).select("a", "b"), docs, shingle, percent)
+    mixed = stash(placed.join(mixed, "band").join(sets.select("id", "signature", "bands", "n_shingles"), "id"), "mixed-buckets")
+    mixed = stash(mixed.join(_short_sets(docs, mixed.select(F.col("id").alias("doc_id")).distinct(), shingle), "id"), "mixed-sets")
+    # All tests are part of the join's condition, cheapest first: pairs that are no link never become rows.
+    sides = [mixed.select("band", "at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "signature", "bands", "n_shingles", "short")], "most") for s in "xy"]
+    few, every = sides[0].where("root_x <> most").drop("most"), sides[1].drop("most", "at")
+    earlier = F.lit(False)  # they share a band before this one, where they are compared
+    for i in range(BANDS - 1):
+        earlier = earlier | ((F.col("at") > i) & (F.col("bands_x")[i] == F.col("bands_y")[i]))
+    both = F.size(F.array_intersect("short_x", "short_y"))
+    here = (
+        (F.col("root_x") != F.col("root_y"))
+        & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
+        & (estimate("signature_x", "signature_y") >= percent / 100 - 0.25)
+        & ~earlier
+        & (100 * both >= percent * (F.col("n_shingles_x") + F.col("n_shingles_y") - both))
+    )
+    cross = few.join(every, "band").where(here).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    more = _confirmed(cross, docs, shingle, percent)
     roots = components(links.union(more))
 
     equal = sets.select("f1", "f2", "n_shingles", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "id").alias("component"))
