@@ -63,7 +63,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 def near_lines(occurrences: DataFrame) -> DataFrame:
     """Lines (h1, h2) with an earlier line within one edit, and the place of the earliest: columns h1, h2, earlier."""
     long = occurrences.where(F.char_length("line") >= MIN_FUZZY_CHARS)
-    first = _shared(_halves(long.select(F.lit(0).cast("long").alias("key"), F.col("line").alias("rest"), "place", "h1", "h2"), 8))
+    whole_lines = long.select(F.lit(0).cast("long").alias("key"), F.col("line").alias("rest"), "place", "h1", "h2")
+    first = stash(_shared(_halves(whole_lines, 8)), "line-halves")
     rests = stash(_shared(_halves(first, 2)), "line-rests")
     gap = F.explode(F.expr("sequence(-1, char_length(rest) - 1)"))
     variants = rests.withColumn("gap", gap).select(
@@ -101,18 +102,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = {n: i for i, n in enumerate(batch.schema.names)}
         out = []
-        for text, removed in zip(batch.column(at["text"]).to_pylist(), batch.column(at["_removed"]).to_pylist(), strict=True):
+        for text, removed in zip(batch.column(at["text"]).to_pylist(), batch.column(at["_cut_lines"]).to_pylist(), strict=True):
             gone = set(removed or ())
             out.append(text if not gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-        names = [n for n in batch.schema.names if n != "_removed"]
+        names = [n for n in batch.schema.names if n != "_cut_lines"]
         columns = [pa.array(out, pa.string()) if n == "text" else batch.column(at[n]) for n in names]
-        yield pa.RecordBatch.from_arrays([*columns, batch.column(at["_removed"])], [*names, "_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(at["_cut_lines"])], [*names, "_cut_lines"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut out of text; documents of which no line is left go."""
-    gone = line_decisions(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    matched = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_id", "_hash")
+    gone = line_decisions(docs).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("removed").alias("_cut_lines"))
+    matched = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_hash")), "left").drop("_cut_id", "_cut_hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matched.schema)
     kept = matched.mapInArrow(_cut, schema)
-    return kept.where("_removed is null or text rlike '[^\\\\s]'").drop("_removed")
+    return kept.where("_cut_lines is null or text rlike '[^\\\\s]'").drop("_cut_lines")
