@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +111,8 @@ def _block(docs: DataFrame, items: DataFrame, seed: int, rarity: float, least: f
                 if best >= least * 2 * len(t):
                     back = align(s[:end][::-1], t[::-1])[1]
                     rows.append((r["doc_id"], r["item_id"], best / (2 * len(t)), r["at"] + end - back, r["at"] + end))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"]).astype({"score": "float64"}), schema=_LEAKS, preserve_index=False)
+            columns = list(zip(*rows, strict=True)) or [()] * len(_LEAKS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _LEAKS.types, strict=True)], schema=_LEAKS)
 
     return full.select("doc_id", "at", "words", "item_id", "item_words").mapInArrow(aligned, LEAKS)
 

@@ -64,21 +64,23 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
         while left:
             i = bisect.bisect_left(gaps, length)
             if i == len(gaps):
-                gap, first, many = capacity, opened, left
-                opened += left
+                gap, first, many = capacity, opened, -(-left // (capacity // length))
+                opened += many
             else:
                 gap = gaps[i]
                 first, many = runs[gap].pop()
                 if not runs[gap]:
                     gaps.pop(i)
-            taken = min(left, many)
-            out.append((length, rank, taken, first, capacity - gap))
-            for rest, start, size in ((gap, first + taken, many - taken), (gap - length, first, taken)):
+            # A gap that holds several pieces of this length takes them all before the next is touched, as it stays the smallest.
+            deep = min(left, gap // length)
+            taken = min(many, left // deep)
+            out += [(length, rank + j * taken, taken, first, capacity - gap + j * length) for j in range(deep)]
+            for rest, start, size in ((gap, first + taken, many - taken), (gap - deep * length, first, taken)):
                 if rest and size:
                     if not runs[rest]:
                         bisect.insort(gaps, rest)
                     runs[rest].append((start, size))
-            left, rank = left - taken, rank + taken
+            left, rank = left - deep * taken, rank + deep * taken
     return np.array(out, np.int64).reshape(-1, 5), opened
 
 

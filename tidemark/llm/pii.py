@@ -183,15 +183,21 @@ def _sums(n: int, links: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(graphs: list[Graph], steps: int = 300, rate: float = 0.1, ridge: float = 1e-2) -> Field:
-    """Weights of greatest penalised pseudo-likelihood, by gradient ascent with adaptive steps."""
+def learn(graphs: list[Graph], steps: int = 300, rate: float = 0.1, ridge: float = 1e-2, agreement: float = 3.0) -> Field:
+    """Weights of greatest penalised pseudo-likelihood, by gradient ascent with adaptive steps.
+
+    The penalty pulls skip weights to `agreement` for equal labels, since few documents repeat an entity, and all
+    others to 0.
+    """
+    prior = np.zeros((N_FEATURES + 10, 5))
+    prior[N_FEATURES + 5 :] = agreement * np.eye(5)
     if not graphs:
-        return Field(np.zeros((N_FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+        return Field(prior[:N_FEATURES], prior[N_FEATURES : N_FEATURES + 5], prior[N_FEATURES + 5 :])
     x = np.concatenate([np.hstack([g.features, _sums(len(g.places), g.chain, g.known), _sums(len(g.places), g.skip, g.known)]) for g in graphs])
     y = np.eye(5)[np.concatenate([g.known for g in graphs])]
-    w, first, second = np.zeros((x.shape[1], 5)), 0.0, 0.0
+    w, first, second = prior.copy(), 0.0, 0.0
     for t in range(1, steps + 1):
-        slope = x.T @ (y - _softmax(x @ w)) / len(x) - ridge * w / 10
+        slope = x.T @ (y - _softmax(x @ w)) / len(x) - ridge * (w - prior) / 10
         for a in (slice(N_FEATURES, N_FEATURES + 5), slice(N_FEATURES + 5, None)):
             slope[a] = (slope[a] + slope[a].T) / 2  # a link has no direction
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
