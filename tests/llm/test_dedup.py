@@ -228,6 +228,20 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {2, 3}
 
 
+def test_edited_leaks_beside_an_exact_one(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"t{x}" for x in rng.integers(0, 5000, n)]
+    item = words(40)
+    edited = ["other" if k % 6 == 5 else w for k, w in enumerate(item)]
+    docs = [words(150) + item + words(150)] + [words(150) + edited + words(150) for _ in range(5)] + [words(150) + item[:4] + words(150) for _ in range(20)]
+    docs += [" ".join(docs[1]).split()] * 30  # copies of one text
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {*range(6), *range(26, 56)}
+    # The last word of the item that is kept stands at 39: seven blocks, six changed words.
+    assert all(got[d].score == pytest.approx((2 * 34 - 6) / 80) and (got[d].start_word, got[d].end_word) == (150, 190) for d in [*range(1, 6), *range(26, 56)])
+
+
 def _align(s, t):
     best = 0
     h = [[0] * (len(t) + 1) for _ in range(len(s) + 1)]

@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every run of `seed` words (lower-cased, without punctuation) of a test item is looked up in every run of every
-document.  The documents' own counts say how rare a run is: a seed of an item is a run found in no more documents than
-`rarity` times the median over the item's runs, so that phrases which many texts share seed nothing, while an item
-copied into a third of all documents keeps its seeds.  Seeds join the stretches of documents around hits to items, and a local
-alignment (match 2, mismatch -1, gap -1) of stretch and item is scored as a share of the item's perfect score.
+document, and the runs join the stretches of documents around hits to items; equal stretches are one until the end.  The
+documents' own counts of different stretches say how rare a run is: a run found in no more of them than `rarity` times
+the median over the item's runs is a rare seed and takes its stretch straight to the alignment.  A stretch that shares
+only commoner runs with an item is aligned too, unless it holds too few of the item's words to reach `least`, which
+no alignment could then do; so whatever shares a run with an item is decided by its score.  The
+local alignment (match 2, mismatch -1, gap -1) of stretch and item is scored as a share of the item's perfect score.
 
 Items are searched in blocks of at most BLOCK_RUNS runs (8 bytes each in a broadcast of proven size); each block
 reads all documents once, and every row meets every block.
@@ -28,6 +30,7 @@ from tidemark.llm.common import grams, slices, stash, words_of
 BLOCK_RUNS = 2_000_000
 _DROPPED = b".,;:!?\"'()"
 HITS = "doc_id long, at long, words binary, runs array<long>"
+ALIGNED = "content string, item_id long, score double, start long, end long"
 LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
@@ -93,31 +96,35 @@ def _block(docs: DataFrame, items: DataFrame, seed: int, rarity: float, least: f
     runs = items.select(F.explode("runs").alias("run")).distinct().toPandas()["run"].to_numpy()  # BLOCK_RUNS at most
     wanted = np.sort(runs.astype(np.int64).view(np.uint64))
     longest = items.agg(F.max(F.length("words"))).first()[0] // 8
-    stretches = stash(_stretches(docs, wanted, seed, longest).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
-    hit = stretches.select("stretch", F.xxhash64("doc_id", "at", "words").alias("content"), F.explode("runs").alias("run"))
+    stretches = stash(_stretches(docs, wanted, seed, longest).withColumn("content", F.sha2("words", 256)), "stretches")
+    contents = stretches.select("content", "words", "runs").dropDuplicates(["content"])
+    hit = contents.select("content", F.explode("runs").alias("run"))
     known = hit.groupBy("run").agg(F.count("*").alias("found"))
-    of_item = items.select("item", F.explode("runs").alias("run")).join(known, "run", "left").fillna(0, ["found"])
-    usual = of_item.where("found > 0").groupBy("item").agg(F.percentile("found", 0.5).alias("usual"))
-    seeds = of_item.where("found > 0").join(usual, "item").where(F.col("found") <= rarity * F.col("usual")).select("item", "run")
-    pairs = hit.select("stretch", "run").join(seeds, "run").select("stretch", "item").distinct()
-    full = pairs.join(stretches.select("stretch", "doc_id", "at", "words"), "stretch").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    of_item = items.select("item", F.explode("runs").alias("run")).join(known, "run")
+    usual = of_item.groupBy("item").agg(F.percentile("found", 0.5).alias("usual"))
+    seeds = of_item.join(usual, "item").select("item", "run", (F.col("found") <= rarity * F.col("usual")).alias("rare"))
+    pairs = hit.join(seeds, "run").groupBy("content", "item").agg(F.max("rare").alias("rare"))
+    full = pairs.join(contents.select("content", "words"), "content").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 s, t = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
+                if not r["rare"] and np.isin(t, s).sum() < least * len(t):  # each match needs a word of the item
+                    continue
                 best, end = align(s, t)
                 if best >= least * 2 * len(t):
                     back = align(s[:end][::-1], t[::-1])[1]
-                    rows.append((r["doc_id"], r["item_id"], best / (2 * len(t)), r["at"] + end - back, r["at"] + end))
-            columns = list(zip(*rows, strict=True)) or [()] * len(_LEAKS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _LEAKS.types, strict=True)], schema=_LEAKS)
+                    rows.append((r["content"], r["item_id"], best / (2 * len(t)), end - back, end))
+            columns = list(zip(*rows, strict=True)) or [()] * len(_ALIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ALIGNED.types, strict=True)], schema=_ALIGNED)
 
-    return full.select("doc_id", "at", "words", "item_id", "item_words").mapInArrow(aligned, LEAKS)
+    scores = full.select("content", "words", "item_id", "item_words", "rare").mapInArrow(aligned, ALIGNED)
+    return stretches.select("content", "doc_id", "at").join(scores, "content").select("doc_id", "item_id", "score", (F.col("at") + F.col("start")).alias("start_word"), (F.col("at") + F.col("end")).alias("end_word"))
 
 
-_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+_ALIGNED = pa.schema([("content", pa.string()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 4, rarity: float = 4.0, least: float = 0.5) -> DataFrame:
