@@ -207,6 +207,20 @@ def test_passages_in_common_and_lines_are_told_apart(spark):
     assert max(found) < 90, "a common line is no passage"
 
 
+def test_short_passages_with_a_changed_word_are_found(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(200):
+        passage, at = words(50), k % 50
+        rows += [words(70) + p + words(70) for p in (passage, [*passage[:at], "changed", *passage[at + 1 :]])]
+    got = compact_windows.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.class_id == r.doc_id - 1}
+    print("recall", len(found) / 200)
+    assert len(found) >= 194
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= compact_windows.MIN_WORDS for r in got)
+
+
 def test_passages_odd_rows(odd, empty):
     assert compact_windows.passages(odd).where("doc_id in (1, 2, 3, 4, 6)").count() == 0
     assert compact_windows.passages(empty).count() == 0
