@@ -221,6 +221,27 @@ def test_short_passages_with_a_changed_word_are_found(spark):
     assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= compact_windows.MIN_WORDS for r in got)
 
 
+def test_passages_of_two_confirmed_pairs_are_linked(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(100):
+        passage = words(50)
+        edited = [*passage[: k % 50], "changed", *passage[k % 50 + 1 :]]
+        rows += [words(70) + p + words(70) for p in (passage, passage, edited, edited)]
+    docs, found = compact_windows.links(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    ids = {r.text_hash: r.doc_id for r in docs.select("text_hash", "doc_id").collect()}
+    got = {tuple(sorted((ids[r.text_hash], ids[r.other]))) for r in found.collect()}
+    whole = 0
+    for k in range(100):
+        reached = {4 * k}
+        for _ in range(3):
+            reached |= {d for pair in got for d in pair if d // 4 == k and reached & set(pair)}
+        whole += len(reached) == 4
+    print("whole", whole)
+    assert whole >= 97
+
+
 def test_passages_odd_rows(odd, empty):
     assert compact_windows.passages(odd).where("doc_id in (1, 2, 3, 4, 6)").count() == 0
     assert compact_windows.passages(empty).count() == 0
