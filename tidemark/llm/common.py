@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,15 +34,28 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(stashed: DataFrame) -> None:
+    """Delete one stashed table that nothing reads any more."""
+    _written.remove(stashed._stash)
+    _delete(stashed.sparkSession, stashed._stash)
+    gc.collect()
+    stashed.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are collected
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table stashed so far.  Only for callers whose earlier results are already written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
