@@ -1,23 +1,29 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of `seed` words (lower-cased, without punctuation) of a test item is looked up in every run of every
-document, and the runs join the stretches of documents around hits to items; equal stretches are one until the end.  The
-documents' own counts of different stretches say how rare a run is: a run found in no more of them than `rarity` times
-the median over the item's runs is a rare seed and takes its stretch straight to the alignment.  A stretch that shares
-only commoner runs with an item is aligned too, unless it holds too few of the item's words to reach `least`, which
-no alignment could then do; so whatever shares a run with an item is decided by its score.  The
-local alignment (match 2, mismatch -1, gap -1) of stretch and item is scored as a share of the item's perfect score.
-
-Items are searched in blocks of at most BLOCK_RUNS runs (8 bytes each in a broadcast of proven size); each block
-reads all documents once, and every row meets every block.
-
-Edge cases: null and empty texts match nothing; items of fewer than `seed` words are too short to tell a copy from
+The local alignment (match 2, mismatch -1, gap -1) of a passage with a test item is scored as a share of the item's
+perfect score.  Words are lower-cased and lose their punctuation.
+
+Seeds are ordered pairs of words that stand next to each other or with one word between.  An alignment that reaches
+`least` of an item of n words has at least least * n - 1 neighbouring matches with one edit or none between them, since every
+other step between matches takes two edits, which cost a match.  Each of them is a seed that starts at another
+word of the item.  So of the n - 1 words that start seeds, the least * n - 2 whose seeds are most frequent in the documents can
+be left out, and a passage that is due still hits one of the rest: the rare seeds.  They join passages (twice the item's
+length to either side of a hit) to items, and passages in which fewer than least * n - 1 words of the item start a
+seed are dropped.  What is left is aligned, equal passages once; no pair that reaches `least` is lost.
+
+Items are searched in blocks of at most BLOCK_WORDS words (a few arrays of 8 bytes each, a broadcast of proven size); each
+block reads all documents twice, once to count seeds and once to find them, and every row meets every block.
+
+Edge cases: null and empty texts match nothing; items of fewer than `min_words` words are too short to tell a copy from
 chance and match nothing; repeated items match each for itself; rows that share a doc_id report the best score of
-any; null doc_id or item_id are kept as null; further columns are ignored; empty tables give an empty result.
+any, of equal scores the earliest; seeds of equal frequency are taken in the item's order; null doc_id or item_id are
+kept as null; further columns are ignored; empty tables give an empty result; texts of any length are searched whole,
+in linear time, and an item's length bounds the passages aligned with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import grams, slices, stash, words_of
+from tidemark.llm.common import GOLDEN, mix, slices, stash, words_of
 
-BLOCK_RUNS = 2_000_000
+BLOCK_WORDS = 2_000_000
 _DROPPED = b".,;:!?\"'()"
-HITS = "doc_id long, at long, words binary, runs array<long>"
-ALIGNED = "content string, item_id long, score double, start long, end long"
+PASSAGES = "doc_id long, item int, at long, words binary"
+ALIGNED = "content string, item int, score double, start long, end long"
 LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
@@ -51,92 +57,166 @@ def align(stretch: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _items(benchmark: DataFrame, seed: int) -> DataFrame:
-    """item, item_id, words (hashes) and runs of each item with at least `seed` words."""
+def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds that start at each word: with the next word, and with the one after it."""
+    return tuple(mix(words[: max(0, len(words) - k)] * GOLDEN + words[k:]) for k in (1, 2))
+
+
+def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
+    """item_id, words (hashes) and n of each item with at least `min_words` words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             hashes, counts, starts = normal_words(texts)
-            words = [hashes[s : s + n] for s, n in zip(starts, counts, strict=True)]
-            runs = [np.unique(grams(w, seed)).view(np.int64).tolist() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(runs, pa.list_(pa.int64()))], ["item_id", "words", "runs"])
+            words = [hashes[s : s + n].tobytes() for s, n in zip(starts, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts.astype(np.int64))], ["item_id", "words", "n"])
+
+    return benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, words binary, n long").where(f"n >= {min_words}").withColumn("at", F.monotonically_increasing_id())
+
+
+class Items:
+    """The items of a block: their words, their seeds, and which of them are rare."""
+
+    def __init__(self, words: list[np.ndarray], least: float):
+        self.words, self.least = words, least
+        self.seeds = np.unique(np.concatenate([np.concatenate(_pairs(w)) for w in words]))
+        self.needed = [max(1, math.ceil(least * len(w)) - 1) for w in words]
+        self.use(self.seeds)
+
+    def use(self, seeds: np.ndarray) -> None:
+        self.wanted = seeds
+        self.filter = np.zeros(1 << 20, bool)  # by the upper bits, before the search
+        self.filter[(seeds >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of wanted seeds among pairs, and their numbers among the wanted."""
+        at = np.flatnonzero(self.filter[(pairs >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.wanted, pairs[at]), len(self.wanted) - 1)
+        same = self.wanted[place] == pairs[at]
+        return at[same], place[same]
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Keep the seeds of each item's rarest words, given how often every seed is found."""
+        seeds, items = [], []
+        for k, (words, needed) in enumerate(zip(self.words, self.needed, strict=True)):
+            one, two = _pairs(words)
+            often = counts[np.searchsorted(self.seeds, one)].astype(float)
+            often[: len(two)] += counts[np.searchsorted(self.seeds, two)]
+            rare = np.argsort(often, kind="stable")[: len(one) - needed + 1]
+            some = np.unique(np.concatenate([one[rare], two[rare[rare < len(two)]]]))
+            seeds.append(some)
+            items.append(np.full(len(some), k, np.int32))
+        seeds, items = np.concatenate(seeds), np.concatenate(items)
+        order = np.argsort(seeds, kind="stable")
+        wanted, self.begin, self.many = np.unique(seeds[order], return_index=True, return_counts=True)
+        self.of_seed = items[order]
+        self.use(wanted)
+
+    def enough(self, item: int, passage: np.ndarray) -> bool:
+        """Whether as many words of the item start a seed in the passage as an alignment must have."""
+        (one, two), there = _pairs(self.words[item]), np.concatenate(_pairs(passage))
+        started = np.isin(one, there)
+        started[: len(two)] |= np.isin(two, there)
+        return int(started.sum()) >= self.needed[item]
+
+
+def _inside(at: np.ndarray, reach: int, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places with a word `reach` further lie in one text, and the text of each place."""
+    doc = np.searchsorted(starts + counts, at, side="right")
+    return at + reach < starts[doc] + counts[doc], doc
+
+
+def _counted(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often each seed of the items is found in the documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(items.seeds), np.int64)
+        for _, texts in slices(batches):
+            hashes, counts, starts = normal_words(texts)
+            for reach, pairs in enumerate(_pairs(hashes), 1):
+                at, seed = items.hits(pairs)
+                total += np.bincount(seed[_inside(at, reach, starts, counts)[0]], minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["seed", "n"])
 
-    items = benchmark.select("item_id", "text").mapInArrow(cut, "item_id long, words binary, runs array<long>").where(F.size("runs") > 0)
-    return items.withColumn("item", F.monotonically_increasing_id())
+    out = np.zeros(len(items.seeds), np.int64)
+    for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():  # twice BLOCK_WORDS rows at most
+        out[r["seed"]] = r["n"]
+    return out
 
 
-def _stretches(docs: DataFrame, wanted: np.ndarray, seed: int, longest: int) -> DataFrame:
-    """Stretches of documents around hits, with the distinct runs hit.  Hits less than two items apart share a stretch."""
+def _found(docs: DataFrame, items: Items) -> DataFrame:
+    """Passages around rare seeds that hold enough seeds of their item."""
+    sizes = np.array([len(w) for w in items.words])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             hashes, counts, starts = normal_words(texts)
-            every = grams(hashes, seed)
-            place = np.searchsorted(wanted, every)
-            hits = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == every)
-            doc = np.searchsorted(starts, hits, side="right") - 1
-            inside = hits + seed <= starts[doc] + counts[doc]
-            hits, doc = hits[inside], doc[inside]
+            parts = []
+            for reach, pairs in enumerate(_pairs(hashes), 1):
+                at, seed = items.hits(pairs)
+                ok, doc = _inside(at, reach, starts, counts)
+                at, seed, doc = at[ok], seed[ok], doc[ok]
+                many = items.many[seed]
+                which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.begin[seed], many)
+                parts.append((np.repeat(doc, many), items.of_seed[which], np.repeat(at, many)))
+            doc, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, item, doc))
+            doc, item, at = doc[order], item[order], at[order]
             rows = []
-            if len(hits):
-                breaks = np.flatnonzero((np.diff(hits) > 2 * longest) | (np.diff(doc) != 0)) + 1
-                for part in np.split(np.arange(len(hits)), breaks):
-                    d = doc[part[0]]
-                    a = max(starts[d], hits[part[0]] - longest)
-                    b = min(starts[d] + counts[d], hits[part[-1]] + seed + longest)
-                    rows.append((batch.column(0)[int(d)].as_py(), int(a - starts[d]), hashes[a:b].tobytes(), np.unique(every[hits[part]]).view(np.int64).tolist()))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "at", "words", "runs"])
-
-    return docs.select("doc_id", "text").mapInArrow(found, HITS)
-
-
-def _block(docs: DataFrame, items: DataFrame, seed: int, rarity: float, least: float) -> DataFrame:
-    runs = items.select(F.explode("runs").alias("run")).distinct().toPandas()["run"].to_numpy()  # BLOCK_RUNS at most
-    wanted = np.sort(runs.astype(np.int64).view(np.uint64))
-    longest = items.agg(F.max(F.length("words"))).first()[0] // 8
-    stretches = stash(_stretches(docs, wanted, seed, longest).withColumn("content", F.sha2("words", 256)), "stretches")
-    contents = stretches.select("content", "words", "runs").dropDuplicates(["content"])
-    hit = contents.select("content", F.explode("runs").alias("run"))
-    known = hit.groupBy("run").agg(F.count("*").alias("found"))
-    of_item = items.select("item", F.explode("runs").alias("run")).join(known, "run")
-    usual = of_item.groupBy("item").agg(F.percentile("found", 0.5).alias("usual"))
-    seeds = of_item.join(usual, "item").select("item", "run", (F.col("found") <= rarity * F.col("usual")).alias("rare"))
-    pairs = hit.join(seeds, "run").groupBy("content", "item").agg(F.max("rare").alias("rare"))
-    full = pairs.join(contents.select("content", "words"), "content").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
+            if len(at):
+                size = sizes[item]
+                low, high = np.maximum(starts[doc], at - 2 * size), np.minimum(starts[doc] + counts[doc], at + 2 * size + 3)
+                new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (low[1:] > high[:-1])) + 1
+                for i, j in zip(np.append(0, new).tolist(), np.append(new, len(at)).tolist(), strict=True):
+                    passage = hashes[low[i] : high[j - 1]]
+                    if items.enough(item[i], passage):
+                        d = int(doc[i])
+                        rows.append((batch.column(0)[d].as_py(), int(item[i]), int(low[i] - starts[d]), passage.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PASSAGES.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(find, PASSAGES)
+
+
+def _block(docs: DataFrame, part: DataFrame, least: float) -> DataFrame:
+    rows = part.select("item_id", "words").collect()  # BLOCK_WORDS words at most, or one longer item
+    items = Items([np.frombuffer(r["words"], np.uint64) for r in rows], least)
+    items.choose(_counted(docs, items))
+    passages = stash(_found(docs, items).withColumn("content", F.sha2("words", 256)), "passages")
+    contents = passages.select("content", "item", "words").dropDuplicates(["content", "item"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                s, t = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
-                if not r["rare"] and np.isin(t, s).sum() < least * len(t):  # each match needs a word of the item
-                    continue
+            out = []
+            for content, item, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, t = np.frombuffer(words, np.uint64), items.words[item]
                 best, end = align(s, t)
                 if best >= least * 2 * len(t):
                     back = align(s[:end][::-1], t[::-1])[1]
-                    rows.append((r["content"], r["item_id"], best / (2 * len(t)), end - back, end))
-            columns = list(zip(*rows, strict=True)) or [()] * len(_ALIGNED)
+                    out.append((content, item, best / (2 * len(t)), end - back, end))
+            columns = list(zip(*out, strict=True)) or [()] * len(_ALIGNED)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ALIGNED.types, strict=True)], schema=_ALIGNED)
 
-    scores = full.select("content", "words", "item_id", "item_words", "rare").mapInArrow(aligned, ALIGNED)
-    return stretches.select("content", "doc_id", "at").join(scores, "content").select("doc_id", "item_id", "score", (F.col("at") + F.col("start")).alias("start_word"), (F.col("at") + F.col("end")).alias("end_word"))
+    scores = contents.mapInArrow(aligned, ALIGNED)
+    names = docs.sparkSession.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], "item int, item_id long")
+    out = passages.select("content", "item", "doc_id", "at").join(scores, ["content", "item"]).join(F.broadcast(names), "item")
+    return out.select("doc_id", "item_id", "score", (F.col("at") + F.col("start")).alias("start_word"), (F.col("at") + F.col("end")).alias("end_word"))
 
 
-_ALIGNED = pa.schema([("content", pa.string()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+_ALIGNED = pa.schema([("content", pa.string()), ("item", pa.int32()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 4, rarity: float = 4.0, least: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 4, least: float = 0.5) -> DataFrame:
     """Pairs of document and item whose alignment reaches `least` of the item's perfect score, with the place of the best."""
-    items = stash(_items(benchmark, seed), "items")
-    n_runs = items.agg(F.sum(F.size("runs"))).first()[0] or 0
-    n_blocks = -(-n_runs // BLOCK_RUNS)
+    items = stash(_items(benchmark, min_words), "items")
+    n_blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS)
     found = docs.sparkSession.createDataFrame([], LEAKS)
     for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
+        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("at"), F.lit(n_blocks)) == k)
         if n_blocks == 1 or not part.isEmpty():
-            found = found.union(_block(docs, part, seed, rarity, least))
+            found = found.union(_block(docs, part, least))
     best = F.max(F.struct("score", -F.col("start_word"), "end_word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.col2")).alias("start_word"), F.col("best.end_word").alias("end_word"))
 
