@@ -142,6 +142,13 @@ def test_gates(spark):
     want = hashlib.sha256(json.dumps({"board": 'b"1\\', "type": "t", "net": "N1"}, sort_keys=True).encode()).hexdigest()
     row = spark.createDataFrame([('b"1\\', "pad [N1] of U2")], "board string, d string")
     assert row.select(gates.fingerprint({"board": F.col("board"), "type": F.lit("t"), "net": gates.net_of(F.col("d"))})).first()[0] == want
+    odd = ["Ünet", 'q"\\', "tab\tnl\nzero\x01del\x7f", "plain", "\U0001f600 é", ""]
+    rows = spark.createDataFrame([(i, t, [t, "b", "a"]) for i, t in enumerate(odd)], "i int, t string, l array<string>")
+    got = {r.i: r.f for r in rows.select("i", gates.fingerprint({"description": F.col("t")}, {"items": F.col("l")}).alias("f")).collect()}
+    assert all(got[i] == hashlib.sha256(json.dumps({"description": t, "items": sorted([t, "b", "a"])}, sort_keys=True).encode()).hexdigest() for i, t in enumerate(odd))
+    bare = spark.createDataFrame([(None, "error"), ("f1", "warning")], "fingerprint string, severity string")
+    strict = gates.allowlisted(bare, allow.union(spark.createDataFrame([(None, "x")], allow.schema)), "fingerprint", errors_pass=False)
+    assert sorted((r.fingerprint or "", r.verdict) for r in strict.collect()) == [("", "ERROR"), ("", "STALE"), ("f1", "ALLOWED"), ("f2", "STALE"), ("f9", "STALE")]
     parts = spark.createDataFrame([("U1", "main", "a"), ("U1", "main", "a"), ("U2", "main", "zz")], "ref string, board string, sheet string")
     sheets = spark.createDataFrame([("main", "a")], "board string, sheet string")
     connectors = spark.createDataFrame([("J1", "LAB_ISO", ["SIG", "PPG_LOGIC_GND"]), ("J2", "LAB_ISO", ["LAB_ISO_GND"])], "name string, domain string, pins array<string>")

@@ -52,6 +52,34 @@ def test_bridge_takes_the_last_stream(spark):
     assert got["ts"].astype("int64").diff().dropna().nunique() == 1
 
 
+def test_bridge_ignores_case_and_fills_times(spark):
+    rows = [("2026-01-01 00:00:00", 1.0, 0), ("never", 2.0, 20000), ("2026-01-01 00:00:02", 3.0, 40000)]
+    got = canonical.bridge(spark.createDataFrame(rows, "timestamp string, PPG_RED double, device_time_us long")).orderBy("frame").select("optical_ir", F.unix_timestamp("ts").alias("s")).collect()
+    assert [r.optical_ir for r in got] == [1, 2, 3]
+    assert [r.s - got[0].s for r in got] == [0, 0, 2]
+
+
+def test_decay_of_each_frame(spark):
+    import numpy as np
+
+    from tidemark.operators import discover
+
+    rng = np.random.default_rng(3)
+    decay = rng.uniform(0.7, 0.99, 60)
+    found = {int(t): float(rng.uniform(0.3, 1)) for t in rng.choice(60, 12, replace=False)}
+    state, want = 0.0, {}
+    for t in range(60):
+        state = max(state, found.get(t, 0.0)) * decay[t]
+        if state < 0.05:
+            state = 0.0
+        else:
+            want[t] = state
+    frames = spark.createDataFrame([("s", t, float(decay[t])) for t in range(60)], "session_id string, frame long, decay double")
+    maxima = spark.createDataFrame([("s", t, "a->b", c) for t, c in found.items()], "session_id string, frame long, edge string, confidence double")
+    got = {r.frame: r.confidence for r in discover.edge_decay(frames, maxima, "decay").collect()}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
 def test_session_records_in_both_layouts(spark, tmp_path):
     record = '{"schema_version":"2.0.0","record_type":"SAMPLE_CHUNK","session_id":"s","device_time_start_us":5,"payload":{"a":1.5,"b":true,"c":"text"}}'
     (tmp_path / "lines.json").write_text(f"{record}\n\n{record}\n")

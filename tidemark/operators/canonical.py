@@ -78,13 +78,17 @@ def canonicalise(df: DataFrame, order: str, parity: bool = False, seed: int = 42
 def bridge(df: DataFrame, order: str = "device_time_us") -> DataFrame:
     """Flattened stream samples to the channel schema: last mapped column wins, unreadable values are 0 before any fill."""
     df = _session(df)
-    source = {STREAM_CHANNELS[c]: c for c in df.columns if c in STREAM_CHANNELS}
+    source = {STREAM_CHANNELS[c.lower()]: c for c in df.columns if c.lower() in STREAM_CHANNELS}
     present = order if order in df.columns else resolve(df, TIME_ALIASES)
     frames = df.withColumn("frame", F.row_number().over(Window.partitionBy("session_id").orderBy(present)).cast("long") - 1)
     zero = lambda c: F.coalesce(number(F.col(f"`{c}`")), F.lit(0.0)) if c and c in df.columns else F.lit(0.0)
-    stamp = F.try_to_timestamp(F.col("timestamp").cast("string")) if "timestamp" in df.columns else F.lit(None).cast("timestamp")
-    device = F.timestamp_micros(F.coalesce(F.col("device_time_us").cast("long"), F.lit(0))) if "device_time_us" in df.columns else F.timestamp_micros(F.col("frame") * 20_000)
-    return frames.select("session_id", "frame", F.coalesce(stamp, device).alias("ts"), *[zero(source.get(c)).alias(c) for c in CHANNELS], *[zero(c).alias(c) for c in COVARIATES])
+    if "timestamp" in df.columns:  # unreadable ones are filled as in canonicalise, not from the device's clock
+        stamp = fill(F.try_to_timestamp(F.col("timestamp").cast("string")), "frame", F.timestamp_seconds(F.col("frame") * 60))
+    elif "device_time_us" in df.columns:
+        stamp = F.timestamp_micros(F.coalesce(F.col("device_time_us").cast("long"), F.lit(0)))
+    else:
+        stamp = F.timestamp_micros(F.col("frame") * 20_000)
+    return frames.select("session_id", "frame", stamp.alias("ts"), *[zero(source.get(c)).alias(c) for c in CHANNELS], *[zero(c).alias(c) for c in COVARIATES])
 
 
 def zscored(df: DataFrame, channels: Sequence[str] = CHANNELS, by: str = "session_id") -> DataFrame:

@@ -142,10 +142,11 @@ def manifest_document() -> list[Rule]:
     ]
 
 
-def result_document() -> list[Rule]:
+def result_document(references: Sequence[str] = ()) -> list[Rule]:
+    """Result documents.  references: the columns that point to sessions and interventions, as the schema document names them."""
     texts = ("instrument_identity", "hardware_revision", "firmware_version", "software_version")
     return [
-        *required("protocol_version", "experiment_id", "trial_id", "execution_id", "started_at", "ended_at", "executor_type", *texts, "circle_session_references", "circle_intervention_references", "raw_artifact_references", "quality_flags", "calibration_status", "synchronization_status", "environmental_metadata", "deviations_from_protocol", "failed_measurements", "manifest_sha256", "provenance", "checksums"),
+        *required("protocol_version", "experiment_id", "trial_id", "execution_id", "started_at", "ended_at", "executor_type", *texts, *references, "raw_artifact_references", "quality_flags", "calibration_status", "synchronization_status", "environmental_metadata", "deviations_from_protocol", "failed_measurements", "manifest_sha256", "provenance", "checksums"),
         *[matches(f, p) for f, p in _IDS.items()], matches("manifest_sha256", HASH), *not_empty(*texts), one_of("provenance", PROVENANCE),
         one_of("executor_type", ("SIMULATED", "PHYSICAL_DISABLED", "REPLAY")), one_of("calibration_status", ("CALIBRATED", "UNCALIBRATED", "CALIBRATION_EXPIRED", "SIMULATED_IDEAL")), one_of("synchronization_status", ("SYNCHRONIZED", "UNSYNCHRONIZED", "DEGRADED", "SIMULATED_PERFECT")),
         Rule("artifacts", F.forall("raw_artifact_references", lambda a: a["sha256"].rlike(HASH) & (F.length(a["path"]) >= 1) & (F.length(a["type"]) >= 1))),

@@ -36,17 +36,20 @@ def edge_maxima(found: DataFrame, by: str = "session_id") -> DataFrame:
     return found.groupBy(by, "frame", "edge").agg(F.max("confidence").alias("confidence"))
 
 
-def edge_decay(frames: DataFrame, maxima: DataFrame, decay: float = 0.995, least: float = 0.05, by: str = "session_id") -> DataFrame:
+def edge_decay(frames: DataFrame, maxima: DataFrame, decay: float | str = 0.995, least: float = 0.05, by: str = "session_id") -> DataFrame:
     """Confidence of every live edge in every frame: c = max(c, m) * decay, gone below `least`; weight as last discovered.
 
-    Closed form: c_t = max over s <= t of m_s * decay^(t - s + 1), a running maximum of m_s / decay^s in logarithms.
+    decay is a number, or the column of frames that holds the decay of each frame.  Closed form: c_t = max over s <= t of
+    m_s * decay_s * ... * decay_t, a running maximum in logarithms: with L the running sum of log decay,
+    log c_t = L_t + max (log m_s - L_(s-1)).
     """
     edges = maxima.select(by, "edge").distinct()
-    grid = frames.select(by, "frame").join(edges, by).join(maxima, [by, "frame", "edge"], "left")
+    rate = F.log(F.col(decay)) if isinstance(decay, str) else F.lit(math.log(decay))
+    summed = frames.select(by, "frame", rate.alias("_rate")).withColumn("_sum", F.sum("_rate").over(running(by, "frame")))
+    grid = summed.join(edges, by).join(maxima, [by, "frame", "edge"], "left")
     w = running([by, "edge"], "frame")
-    rate = math.log(decay)
-    peak = F.max(F.log("confidence") - F.col("frame") * rate).over(w)
-    state = grid.withColumn("c", F.exp(peak + (F.col("frame") + 1) * rate))
+    peak = F.max(F.log("confidence") - F.col("_sum") + F.col("_rate")).over(w)
+    state = grid.withColumn("c", F.exp(peak + F.col("_sum")))
     before = F.lag("c").over(Window.partitionBy(by, "edge").orderBy("frame"))
     state = state.withColumn("before", F.when(before >= least, before).otherwise(0.0))
     weight = F.last(F.when(F.col("confidence").isNotNull(), F.greatest("before", "confidence")), ignorenulls=True).over(w)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -154,6 +155,29 @@ def unblind(results: DataFrame, sealed: DataFrame) -> DataFrame:
     return results.join(sealed, "trial_token")
 
 
+#: The seven conditions of a matched block: geometry, core, whether it is driven, modulation (fixed values).
+BLOCK = (
+    ("GOLDEN_RATIO_SPHERES", "DUAL_TETRAHEDRON_MERKABA", True, "NONE_CW"),
+    ("GOLDEN_RATIO_SPHERES", "SPHERICAL_CORE", True, "NONE_CW"),
+    ("EQUAL_SPHERES", "DUAL_TETRAHEDRON_MERKABA", True, "NONE_CW"),
+    ("EQUAL_SPHERES", "SPHERICAL_CORE", True, "NONE_CW"),
+    ("GOLDEN_RATIO_SPHERES", "NO_CORE", True, "NONE_CW"),
+    ("RANDOM_SPHERES", "DUAL_TETRAHEDRON_MERKABA", True, "NONE_CW"),
+    ("SHAM_OFF", "SHAM_OFF", False, "SHAM_OFF"),
+)
+
+
+def matched_blocks(blocks: DataFrame, block: str, draw: Callable[[Column, Column], Column], freq_hz: float = 73.2, amp_v: float = 3.3) -> DataFrame:
+    """The seven conditions of each block in an order of their own: by draw(block, condition), a random number.
+
+    Seven rows a block, dealt by a literal array; the order is a window of seven rows.
+    """
+    rows = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(g).alias("geometry"), F.lit(c).alias("core"), F.lit(freq_hz if on else 0.0).alias("freq_hz"), F.lit(amp_v if on else 0.0).alias("amp_v"), F.lit(m).alias("modulation")) for k, (g, c, on, m) in enumerate(BLOCK)])
+    each = blocks.select(block, F.explode(rows).alias("x")).select(block, "x.*")
+    order = Window.partitionBy(block).orderBy(draw(F.col(block), F.col("condition")), "condition")
+    return each.withColumn("block_index", F.row_number().over(order) - 1)
+
+
 def score_changes(decisions: DataFrame, by: str, step: str, score: str) -> DataFrame:
     """Each decision with the score that followed it."""
     return decisions.withColumn("next_score", F.lead(score).over(Window.partitionBy(by).orderBy(step)))

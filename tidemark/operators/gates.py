@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 def allowlisted(found: DataFrame, allow: DataFrame, key: str, errors_pass: bool = True) -> DataFrame:
     """Findings with a verdict: ALLOWED, UNALLOWLISTED, or ERROR where errors never pass; plus STALE allowlist entries.
 
-    The two sides meet once, in a full outer join.
+    The two sides meet once, in a full outer join.  A finding without a key is never allowed, and an allowlist entry
+    without one is always stale.
     """
-    a = found.select(F.col(key).alias("_f"), "severity")
-    b = allow.select(F.col(key).alias("_a")).distinct()
+    a = found.select(F.col(key).alias("_f"), "severity", F.lit(True).alias("_found"))
+    b = allow.select(F.col(key).alias("_a")).distinct().withColumn("_listed", F.lit(True))
     both = a.join(b, F.col("_f") == F.col("_a"), "full")
     error = F.lit(False) if errors_pass else F.col("severity") == "error"
-    verdict = F.when(F.col("_f").isNull(), "STALE").when(error, "ERROR").when(F.col("_a").isNull(), "UNALLOWLISTED").otherwise("ALLOWED")
+    verdict = F.when(F.col("_found").isNull(), "STALE").when(error, "ERROR").when(F.col("_listed").isNull(), "UNALLOWLISTED").otherwise("ALLOWED")
     return both.select(F.coalesce("_f", "_a").alias(key), verdict.alias("verdict"))
 
 
@@ -32,11 +33,31 @@ def net_of(description: Column) -> Column:
     return F.when(net == "", "UNSPECIFIED_NET").otherwise(net)
 
 
-def fingerprint(fields: dict[str, Column]) -> Column:
-    """SHA-256 of a JSON object with sorted keys and spaced separators."""
-    escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    quoted = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
-    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(quoted(fields[k]), F.lit("null"))) for k in sorted(fields)]
+#: Escapes of JSON for single characters, fixed values.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string in ASCII: all else is escaped by its UTF-16 units."""
+
+    def unit(u: Column) -> Column:
+        code = F.conv(u, 16, 10).cast("int")
+        out = F.when((code >= 32) & (code < 127), F.char(code)).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        for plain, escape in _SHORT.items():
+            out = F.when(code == ord(plain), escape).otherwise(out)
+        return out
+
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), 1)
+    text = F.when(c.rlike(r"^[ !#-\[\]-~]*$"), c).otherwise(F.array_join(F.transform(units, unit), ""))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def fingerprint(fields: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
+    """SHA-256 of a JSON object with sorted keys and spaced separators; lists are arrays of strings, sorted."""
+    lists = lists or {}
+    values = {k: F.coalesce(json_string(v), F.lit("null")) for k, v in fields.items()}
+    values |= {k: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.coalesce(v, F.array().cast("array<string>"))), lambda x: F.coalesce(json_string(x), json_string(F.lit("")))), ", "), F.lit("]")) for k, v in lists.items()}
+    parts = [F.concat(F.lit(f'"{k}": '), values[k]) for k in sorted(values)]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
@@ -72,6 +93,13 @@ def manifest_violations(parts: DataFrame, sheets: DataFrame, connectors: DataFra
     return repeated.union(lost).union(ground)
 
 
+def report_counts(violations: DataFrame, unconnected: DataFrame, by: str = "board") -> DataFrame:
+    """Violations, unconnected items and the nets they leave open, of each board; description names the net."""
+    a = violations.groupBy(by).agg(F.count("*").alias("violations"))
+    b = unconnected.groupBy(by).agg(F.count("*").alias("unconnected"), F.countDistinct(net_of(F.col("description"))).alias("nets"))
+    return a.join(b, by, "full").fillna(0)
+
+
 def gate_summary(checks: DataFrame) -> DataFrame:
     """All checks (name, passed) as one verdict."""
     return checks.agg(F.count("*").alias("checks"), F.sum((~F.col("passed")).cast("long")).alias("failed"), F.bool_and("passed").alias("all_passed"))

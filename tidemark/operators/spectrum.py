@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import local_maxima
 
 
-def dft(series: DataFrame, by: str, order: str, value: str, bins: int) -> DataFrame:
-    """Magnitude of bins 0 .. bins - 1 of each series (order counts from 0); bins are a parameter, so rows x bins is linear."""
+def dft(series: DataFrame, by: str, order: str, value: str, bins: int | None = None) -> DataFrame:
+    """Magnitude of the first n / 2 bins of each series of n (order counts from 0), or of `bins` of them at most.
+
+    Each row meets each bin once and is summed before the shuffle; nothing is gathered.
+    """
     sized = series.join(series.groupBy(by).agg(F.count("*").alias("n")), by)
-    each = sized.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).where(F.col("bin") < F.floor(F.col("n") / 2))
+    last = F.floor(F.col("n") / 2).cast("int") - 1
+    each = sized.where("n > 1").withColumn("bin", F.explode(F.sequence(F.lit(0), last if bins is None else F.least(last, F.lit(bins - 1)))))
     # The phase is reduced exactly, as integers, before it becomes an angle.
     angle = 2 * math.pi * F.pmod(F.col("bin") * F.col(order), F.col("n")) / F.col("n")
     sums = each.groupBy(by, "bin").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(F.col(value) * F.sin(angle)).alias("im"), F.max("n").alias("n"))

@@ -129,6 +129,18 @@ def edge_decay(spark, sf):
     return _rounded(discover.edge_decay(frames, maxima).drop("session_id"))
 
 
+@query(
+    f"""WITH {_D}, f AS (SELECT frame, sum(ln(0.9 + 0.095 * ((frame * 7) % 11) / 10.0)) OVER (ORDER BY frame) AS total, ln(0.9 + 0.095 * ((frame * 7) % 11) / 10.0) AS rate FROM ch),
+m AS (SELECT frame, edge, max(confidence) AS m FROM d GROUP BY ALL), g AS (SELECT f.frame, e.edge, total, rate, m FROM f CROSS JOIN (SELECT DISTINCT edge FROM m) e LEFT JOIN m ON m.frame = f.frame AND m.edge = e.edge),
+c AS (SELECT frame, edge, exp(total + max(ln(m) - total + rate) OVER (PARTITION BY edge ORDER BY frame)) AS c FROM g)
+SELECT frame, edge, round(c, 6) AS confidence FROM c WHERE c >= 0.05"""
+)
+def edge_decay_by_frame(spark, sf):
+    frames = hourly(spark, sf).withColumn("decay", 0.9 + 0.095 * ((F.col("frame") * 7) % 11) / 10.0)
+    maxima = discover.edge_maxima(discover.discoveries(pairs(spark, sf), 0.32))
+    return _rounded(discover.edge_decay(frames, maxima, "decay").select("frame", "edge", "confidence"))
+
+
 @query(f"WITH {_D}, n AS (SELECT ch.frame, count(d.edge) AS n FROM ch LEFT JOIN d ON d.frame = ch.frame GROUP BY ch.frame) SELECT frame, n, CAST(sum(n) OVER (ORDER BY frame) AS BIGINT) AS total FROM n")
 def edge_decay_running_total(spark, sf):
     return discover.per_frame_counts(hourly(spark, sf), discover.discoveries(pairs(spark, sf), 0.32)).drop("session_id")
@@ -510,13 +522,13 @@ def range_lineage(spark, sf):
     return intervals.covered_by(table(spark, sf, "events"), ranges, "event_type", "event_id", "first", "last", 512).select("event_id", "range_id")
 
 
-_SPEC = f"""{_CH}, {_Z}, n AS (SELECT count(*) AS n FROM z), f AS (SELECT bin, sqrt(pow(sum(em_rf * cos(2 * pi() * ((bin * frame) % n) / n)), 2) + pow(sum(em_rf * sin(2 * pi() * ((bin * frame) % n) / n)), 2)) / max(n) AS magnitude FROM z CROSS JOIN n CROSS JOIN range(120) b(bin) GROUP BY bin),
+_SPEC = f"""{_CH}, {_Z}, n AS (SELECT count(*) AS n FROM z), f AS (SELECT bin, sqrt(pow(sum(em_rf * cos(2 * pi() * ((bin * frame) % n) / n)), 2) + pow(sum(em_rf * sin(2 * pi() * ((bin * frame) % n) / n)), 2)) / max(n) AS magnitude FROM z CROSS JOIN n JOIN range(100000) b(bin) ON bin < n // 2 GROUP BY bin),
 l AS (SELECT bin, magnitude, lag(magnitude) OVER (ORDER BY bin) AS b, lead(magnitude) OVER (ORDER BY bin) AS a, max(magnitude) OVER () AS m FROM f), pk AS (SELECT bin, magnitude FROM l WHERE magnitude > b AND magnitude > a AND magnitude > 0.05 * m)"""
 
 
 def _peaks(spark: SparkSession, sf: str) -> DataFrame:
     z = canonical.zscored(hourly(spark, sf))
-    return spectrum.peaks(spectrum.dft(z, "session_id", "frame", "em_rf", 120), "session_id")
+    return spectrum.peaks(spectrum.dft(z, "session_id", "frame", "em_rf"), "session_id")
 
 
 @query(f"WITH {_SPEC} SELECT CAST(bin AS INTEGER) AS bin, round(magnitude, 6) AS magnitude FROM pk")
@@ -659,3 +671,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+@query("""SELECT v.board, v.violations, coalesce(u.unconnected, 0) AS unconnected, coalesce(u.nets, 0) AS nets FROM (SELECT p_brand AS board, count(*) AS violations FROM part GROUP BY 1) v
+LEFT JOIN (SELECT p_brand AS board, count(*) AS unconnected, count(DISTINCT p_type) AS nets FROM part WHERE p_size > 40 GROUP BY 1) u USING (board)""")
+def report_counts(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("board"), "p_size", F.concat(F.lit("pad ["), "p_type", F.lit("] of U1")).alias("description"))
+    return gates.report_counts(part, part.where("p_size > 40"))
+
+
+@query(
+    f"""WITH c(condition, geometry, core, freq_hz, amp_v, modulation) AS (VALUES {", ".join(f"({k}, '{g}', '{c}', {73.2 if on else 0.0}::DOUBLE, {3.3 if on else 0.0}::DOUBLE, '{m}')" for k, (g, c, on, m) in enumerate(factorial.BLOCK))})
+SELECT o_orderkey, condition, geometry, core, freq_hz, amp_v, modulation, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY {_lcg2("o_orderkey * 7919 + condition * 104729 + 1")}, condition) - 1 AS INTEGER) AS block_index FROM orders CROSS JOIN c"""
+)
+def matched_blocks(spark, sf):
+    draw = lambda block, condition: lcg(lcg(block * 7919 + condition * 104729 + 1))
+    return factorial.matched_blocks(table(spark, sf, "orders"), "o_orderkey", draw)
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, make_timestamp(event_id * 1000) AS ts,
+0.0::DOUBLE AS em_rf, coalesce(value, 0.0) AS optical_ir, coalesce(CASE WHEN event_type = 'click' THEN value END, 0.0) AS consciousness_proxy, 0.0::DOUBLE AS control_baseline FROM events"""
+)
+def bridged_streams(spark, sf):
+    samples = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") * 1000).alias("device_time_us"), F.col("value").alias("PPG_Red"), F.when(F.col("event_type") == "click", F.col("value")).alias("EDA_CONDUCTANCE")
+    )
+    return canonical.bridge(samples).select("session_id", "frame", "ts", *CHANNELS)
+
