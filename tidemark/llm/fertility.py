@@ -2,16 +2,18 @@
 
 Public vocabularies cut the words of a text into tokens: code points of words for each token (of two vocabularies),
 the share of byte-fallback tokens, and the entropy of the token distribution as a share of the most that so many
-tokens can have.  Over all documents, each language (the `lang` column; where that is missing or null the dominant
-script of the text) and size class (powers of four in words) has a band for each measure: the median plus and minus a
-width given in robust deviations (the distance between the quartiles over 1.349, at least a floor).  A document outside a band is
-rejected.  Classes of fewer than `few` documents take the bands of all sizes of their language, or else of all documents.
+tokens can have, less what a line through all documents of the language leads to expect at the logarithm of the length.
+Over all documents, each language (the `lang` column; where that is missing or null the dominant script of the text) has
+a band for each measure: the median plus and minus `width` robust deviations (the distance between the quartiles over
+1.349, at least a floor), wider by sqrt(1 + short / n) for a text of n words, as a mean over few words strays further.  A
+document outside a band is rejected.  The rule is the same at every size of table and of language; a language with
+a single document lies in its own band.
 
 The base rule rejects texts of fewer than 10 words, and those where words in repeated five-word windows are over 20 %.
-Medians come from a mergeable sketch over all rows; the table of bands has a row for each language, script and size.
+Medians come from a mergeable sketch over all rows, the lines from sums; the table of bands has a row for each language or script.
 
 Edge cases: a null text has no words and fails the base rule, as do empty and blank ones; repeated rows are judged
-each for itself and count twice in the bands; further columns are ignored; an empty table gives an empty result; long
+each for itself and count twice in the bands; measures on the edge of a band are inside; further columns are ignored; an empty table gives an empty result; long
 texts are measured whole, in time linear in their length.
 """
 
@@ -28,8 +30,10 @@ from tidemark.llm.common import grams, hash_words, slices, stash
 from tidemark.llm.wordtokens import entropy, piece_bpe, word_bpe
 
 MEASURES = ("chars_per_piece", "chars_per_token", "byte_share", "entropy_share")
-#: Least robust deviation of each measure, so that a class of nearly equal documents keeps a band.
-FLOORS = (0.08, 0.08, 0.01, 0.01)
+#: Least robust deviation of each measure, so that a language of nearly equal documents keeps a band.
+FLOORS = (0.02, 0.02, 0.005, 0.01)
+#: Tables of bands of up to this many languages are broadcast (about 200 bytes each).
+BROADCAST_GROUPS = 100_000
 _SPACE = bytes([32, *range(9, 14)])
 _SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -86,24 +90,29 @@ def measured(docs: DataFrame, piece_file: str, word_file: str) -> DataFrame:
     return source.mapInArrow(measure, f"doc_id long, {BASE}, `group` string, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
-def judged(docs: DataFrame, piece_file: str, word_file: str, widths: tuple[float, ...] = (10.0, 10.0, 10.0, 4.5), few: int = 200) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, group and the measures."""
+def judged(docs: DataFrame, piece_file: str, word_file: str, width: float = 4.0, short: int = 200) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, band_group, the measures, and outside: the first measure that rejects, or null."""
     rows = stash(measured(docs, piece_file, word_file), "fertility")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1))) / 2).cast("int"))
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in MEASURES]
-    # One row for each language and size; grouping sets add the wider classes.
-    bands = rows.where(~failed).rollup("group", "size").agg(F.count("*").alias("n"), F.grouping_id().alias("level"), *quartiles)
-    limits = [F.struct((F.col(m)[1] - width * scale).alias("low"), (F.col(m)[1] + width * scale).alias("high")).alias(m) for m, floor, width in zip(MEASURES, FLOORS, widths, strict=True) for scale in [F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(floor))]]
-    bands = bands.select("group", "size", "n", "level", *limits)
-    narrow = bands.where(f"level = 0 and n >= {few}").select("group", "size", F.struct(*MEASURES).alias("narrow"))
-    wide = bands.where(f"level = 1 and n >= {few}").select("group", F.struct(*MEASURES).alias("wide"))
-    widest = bands.where("level = 3").select(F.struct(*MEASURES).alias("widest"))
-    # Each is a table of languages, scripts and sizes: known values of a few columns, not of rows.
-    full = rows.join(F.broadcast(narrow), ["group", "size"], "left").join(F.broadcast(wide), "group", "left").join(F.broadcast(widest), F.lit(True), "left")
-    band = F.coalesce("narrow", "wide", "widest")
-    inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.coalesce(F.col(m).between(band[m]["low"], band[m]["high"]), F.lit(True))
-    names = [x.split()[0] for x in BASE.split(", ")]
-    return full.select("doc_id", *names, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.col("group").alias("band_group"), *MEASURES)
+    rows = rows.withColumn("base_failed", failed)
+    usable, length = rows.where(~failed), F.log2("n_words")
+    lines = stash(usable.groupBy("group").agg(F.regr_slope("entropy_share", length).alias("slope"), F.avg("entropy_share").alias("mean"), F.avg(length).alias("middle")), "lines")
+    few = lines.count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda df: df)
+
+    def off_line(part: DataFrame) -> DataFrame:
+        expected = F.col("mean") + F.coalesce("slope", F.lit(0.0)) * (length - F.col("middle"))
+        return part.join(small(lines), "group", "left").withColumn("off_line", F.col("entropy_share") - expected).drop("slope", "mean", "middle")
+
+    names = [*MEASURES[:3], "off_line"]
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"q_{m}") for m in names]
+    bands = stash(off_line(usable).groupBy("group").agg(*quartiles), "bands")
+    full = off_line(rows).join(small(bands), "group", "left")
+    wider, outside = width * F.sqrt(1 + short / F.greatest("n_words", F.lit(1))), F.lit(None).cast("string")
+    for m, floor in reversed(list(zip(names, FLOORS, strict=True))):
+        q = F.col(f"q_{m}")
+        away = F.abs(F.col(m) - q[1]) > wider * F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
+        outside = F.when(away, m).otherwise(outside)
+    counts = [x.split()[0] for x in BASE.split(", ")]
+    full = full.withColumn("outside", F.when(~F.col("base_failed"), outside))
+    return full.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & F.col("outside").isNull()).alias("kept"), F.col("group").alias("band_group"), *MEASURES, "outside")
