@@ -49,6 +49,43 @@ def test_marginals_against_enumeration():
     assert np.allclose(model.marginals(page), weight / whole)
 
 
+def test_pages_of_many_makes(spark, sf):
+    """Short and long articles in wrappers of every kind, with link lists inside, between menus and footers."""
+    model = html_extract.fit(queries.table(spark, sf, "pages"))
+    nav = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav>'
+    foot = "<footer><p>&copy; 2024 Some Company. All rights reserved.</p></footer>"
+    side = '<div class="sidebar"><h3>More</h3><ul><li><a href="/1">One thing</a></li><li><a href="/2">Other thing</a></li></ul></div>'
+    comments = '<section class="comments"><h2>Comments</h2><div class="comment"><p>I read this twice and liked it.</p></div></section>'
+    short = ["<p>The river rose in the night and the bridge was closed.</p>", "<p>It opened again on Monday, the town said.</p>"]
+    long_ = ["<h1>The bridge</h1>", *(f"<p>{'The river rose in the night, and nobody crossed the bridge number %d. ' % i * 4}</p>" for i in range(6))]
+    listed = [*short, '<ul><li><a href="/map">A map of the town</a></li><li><a href="/old">The old bridge</a></li></ul>', "<p>More is known since the morning, when the gates were opened.</p>"]
+    wraps = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="wrap">', "</div>"), ("<div>", "</div>"), ('<div class="share-story">', "</div>"), ('<div id="post">', "</div>"), ('<div class="entry-content">', "</div>"), ('<section id="middle">', "</section>"), ('<div class="container"><div class="row">', "</div></div>"), ("<main><article>", "</article></main>")]
+    plain = lambda block: [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|ul|li)>", block)]
+    wrong = []
+    for name, blocks in (("short", short), ("long", long_), ("listed", listed)):
+        want = "\n".join(x for b in blocks for x in plain(b) if x)
+        for a, b in wraps:
+            for before, after in ((nav, foot), (nav + side, comments + foot), ("", "")):
+                page = f"<html><head><title>t</title></head><body>{before}{a}{''.join(blocks)}{b}{after}</body></html>"
+                if model.text(page) != want:
+                    wrong.append((name, a, before[:20], model.text(page)[:80]))
+    print(len(wrong), "of 90 pages", wrong[:6])
+    assert len(wrong) <= 2
+    assert model.text(f"<body>{nav}{side}{foot}</body>") == ""
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        page = html_extract.parse("<div>" * n + "<p>text</p>" + "</div>" * n + "</x>" * n)
+        took.append(time.perf_counter() - began)
+        assert [t for _, t in page.segments] == ["text"] and len(page.nodes) == n + 2
+    assert took[1] < 12 * took[0]
+
+
 def test_parser():
     def segments(source):
         return [t for _, t in html_extract.parse(source).segments]

@@ -23,6 +23,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +41,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 NO_PARAGRAPH = BLOCKS - {"body", "button", "dd", "dt", "head", "html", "iframe", "label", "legend", "li", "noscript", "option", "select", "tbody", "td", "textarea", "tfoot", "th", "thead", "tr"}
 AGAINST = frozenset(
-    "ad ads advert advertisement advertising adverts alert aside author-box banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus foot footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification paywall popular popup promo promoted promotion recommended related replies reply respond response responses search share sharing side sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toc toolbar trending widget".split()
+    "ad ads advert advertisement advertising adverts alert aside author-box banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus foot footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification paywall popular popup promo promoted promotion recommended related replies reply respond response responses search sharing side sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toc toolbar trending widget".split()
 )
 FOR = frozenset("article articlebody body content copy entry main maintext post story text".split())
 TAGS = (
@@ -80,7 +81,7 @@ class Page:
 def parse(source: str) -> Page:
     """Tree of block elements, and the pieces of text between block edges."""
     nodes, stack = [Node("html", -1)], [0]
-    open_inline: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
     segments: list[tuple[int, str]] = []
     pieces: list[str] = []
     linked = 0
@@ -107,14 +108,13 @@ def parse(source: str) -> Page:
                 linked += len(text)
 
     def close(names: set[str], until: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in names:
-                flush()
-                del stack[i:]
-                return
-            if tag in until:
-                return
+        """Close the innermost open element of `names`, unless one of `until` is inside it."""
+        last = max((where[n][-1] for n in names if where[n]), default=0)
+        if last > max((where[n][-1] for n in until if where[n]), default=0):
+            flush()
+            for i in stack[last:]:
+                where[nodes[i].tag].pop()
+            del stack[last:]
 
     place, in_link = 0, 0
     for m in _TOKEN.finditer(source):
@@ -134,7 +134,7 @@ def parse(source: str) -> Page:
         if end:
             close({tag}, frozenset())
             continue
-        if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+        if tag == "html" or (tag == "body" and where["body"]):
             continue
         flush()
         if tag in NO_PARAGRAPH:
@@ -158,6 +158,7 @@ def parse(source: str) -> Page:
             node.favour |= not words.isdisjoint(FOR)
         nodes.append(node)
         parent.children.append(len(nodes) - 1)
+        where[tag].append(len(stack))
         stack.append(len(nodes) - 1)
     add(source[place:])
     flush()
@@ -266,7 +267,7 @@ def learn(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], st
     return TreeModel(w[:N_OWN], w[N_OWN:])
 
 
-def labelled_pages(n: int = 240, seed: int = 6) -> list[str]:
+def labelled_pages(n: int = 480, seed: int = 6) -> list[str]:
     """Pages of varied make whose parts carry data-label: 1 content, 0 not."""
     rng = random.Random(seed)
     vocabulary = "river stone window market garden letter winter paper silver engine harbour valley music copper table story north bridge field shadow".split()
@@ -295,19 +296,26 @@ def labelled_pages(n: int = 240, seed: int = 6) -> list[str]:
         ]
         return f'<div data-label="0">{rng.choice(kinds)()}</div>' if rng.random() < 0.2 else re.sub(r"^<(\w+)", r'<\1 data-label="0"', rng.choice(kinds)())
 
+    def links() -> str:
+        return f"<{(tag := rng.choice(['ul', 'ol']))}>" + "".join(f'<li><a href="/{i}">{words(1, 6).capitalize()}</a></li>' for i in range(rng.randint(1, 5))) + f"</{tag}>"
+
     def block() -> str:
         kinds = [lambda: f"<p>{prose()}</p>"] * 8 + [
             lambda: f"<h2>{words(1, 6)}</h2>", lambda: "<ul>" + "".join(f"<li>{prose(1, 1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", lambda: f"<blockquote><p>{prose()}</p></blockquote>",
-            lambda: f"<div>{prose()}</div>", lambda: f"<p>{words(1, 2)}.</p>", lambda: f"<pre>{words(3, 9)}</pre>", lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", lambda: f"<section><h3>{words(1, 4)}</h3><p>{prose()}</p></section>",
+            lambda: f"<div>{prose()}</div>", lambda: f"<p>{words(1, 2)}.</p>", lambda: f"<pre>{words(3, 9)}</pre>", links, links, lambda: f'<p>{words(2, 6)} <a href="/x">{words(1, 4)}</a> {words(1, 5)}.</p>', lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", lambda: f"<section><h3>{words(1, 4)}</h3><p>{prose()}</p></section>",
         ]
         return rng.choice(kinds)()
 
     pages = []
     for _ in range(n):
-        parts = [f"<h1>{words(1, 8)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 12]))] or [block()]
+        if rng.random() < 0.35:  # a short article
+            parts = [f"<h1>{words(1, 5)}</h1>"] * (rng.random() < 0.4) + [f"<p>{prose(1, 2)}</p>" for _ in range(rng.randint(1, 3))] + [links()] * (rng.random() < 0.3)
+        else:
+            parts = [f"<h1>{words(1, 8)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12]))]
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             parts.insert(rng.randint(0, len(parts)), clutter())
-        open_, close_ = rng.choice([("article", "article")] * 4 + [("main", "main"), ('div class="content"', "div"), ('div id="post"', "div"), ('div class="entry-content"', "div"), ("div", "div")])
+        bare = [("div", "div"), (f'div class="{rng.choice(["wrap", "container", "share-story", "page", "col-8", "inner", "layout row", "x1"])}"', "div"), (f'section id="{rng.choice(["s1", "middle", "center"])}"', "section")]
+        open_, close_ = rng.choice([("article", "article")] * 4 + [("main", "main"), ('div class="content"', "div"), ('div id="post"', "div"), ('div class="entry-content"', "div")] + bare * 2)
         body = [clutter() for _ in range(rng.randint(0, 3))] + [f'<{open_} data-label="1">' + "".join(parts) + f"</{close_}>"] + [clutter() for _ in range(rng.randint(0, 3))]
         pages.append(f"<html><head><meta charset=utf-8></head><body data-label='0'>{''.join(body)}</body></html>")
     return pages
@@ -329,8 +337,9 @@ def _row(page: Page, labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return (*described(page), np.array([v.parent for v in page.nodes]), np.array(labels))
 
 
-def fit(pages: DataFrame, max_fit_pages: int = 400) -> TreeModel:
-    """Learn from the labelled pages here and from at most about `max_fit_pages` self-labelled pages of the table."""
+def fit(pages: DataFrame, max_fit_pages: int = 400, max_fit_nodes: int = 2000) -> TreeModel:
+    """Learn from the labelled pages here and from a bounded sample of the table: at most about `max_fit_pages`
+    self-labelled pages, of at most `max_fit_nodes` elements each.  Every page is extracted, whatever its size."""
     rows = [_row(page, [v.label or 0 for v in page.nodes]) for page in map(parse, labelled_pages())]
     share = min(1.0, max_fit_pages / max(1, pages.count()))
 
@@ -339,7 +348,7 @@ def fit(pages: DataFrame, max_fit_pages: int = 400) -> TreeModel:
             for source in batch.column(0).to_pylist():
                 page = parse(source)
                 labels = self_labelled(page)
-                if labels is not None and len(labels) <= 2000:
+                if labels is not None and len(labels) <= max_fit_nodes:
                     kinds = ("<f4", "<f4", "<i4", "<i4")
                     yield pa.RecordBatch.from_arrays([pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(_row(page, labels), kinds, strict=True)], list("fgpy"))
 
