@@ -43,7 +43,7 @@ def test_near_lines_against_all_pairs(spark):
     rng.shuffle(lines)
     got = line_dedup.line_decisions(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"))
     gone = {r.doc_id for r in got.collect()}
-    long_ = lambda s: len(s) >= line_dedup.MIN_FUZZY_CHARS
+    long_ = lambda s: len(s) >= 16
     want = {i for i, t in enumerate(lines) if t.strip() and any(t == u or (long_(t) and long_(u) and _distance(t, u) <= 1) for u in lines[:i])}
     assert gone == want
 
@@ -157,6 +157,60 @@ def test_substrings_odd_rows(odd, empty):
     assert suffix_dedup.cut(empty).count() == 0
 
 
+def test_substrings_in_hot_buckets(spark, monkeypatch):
+    """Buckets that are picked out by broadcast give the same result."""
+    rng = np.random.default_rng(21)
+    passage = "".join(rng.choice(list("abcdefgh "), 900))
+    made = ["".join(rng.choice(list("abcdefgh "), 300)) + passage + "".join(rng.choice(list("abcdefgh "), 300)) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.cut(df).collect()}
+    assert [tuple(rows[i]) for i in range(25)] == [tuple(x) for x in _cut([t.encode() for t in made], 400)]
+
+
+def test_short_lines_when_asked_for(spark):
+    rng = np.random.default_rng(22)
+    lines = ["".join(rng.choice(list("ab"), int(n))) for n in rng.integers(2, 20, 120)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").selectExpr("*", "1 AS _cut_lines", "2 AS line", "3 AS place")
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    for least in (16, 9, 3):
+        want = {i for i, b in enumerate(lines) if any(a == b or (min(len(a), len(b)) >= least and near(a, b)) for a in lines[:i])}
+        kept = line_dedup.dedup_lines(df, least)
+        assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(120)) - want
+
+
+def test_buckets_dealt_over_blocks(spark, monkeypatch):
+    """Many documents of one bucket that are no links, with some links among them, in blocks of a few."""
+    rng = np.random.default_rng(23)
+    base = [f"w{x}" for x in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(60, 6 if i % 3 else 2, replace=False):
+            words[k] = f"u{i}_{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 2, 80).collect()}
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 2, 80).collect()} == one
+    sets = [minhash.exact_shingles(t.encode(), 2) for _, t in rows]
+    root = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert one == set(enumerate(root))
+
+
 def test_compact_windows_against_definition():
     rng = np.random.default_rng(0)
     for _ in range(100):

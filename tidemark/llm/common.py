@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 
+#: Tables of ids of up to this many rows are broadcast: two longs each, about 50 MB as a hash table.
+BROADCAST_IDS = 500_000
+
 #: Odd 64-bit constants of a public integer mixer (fixed values).
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -22,9 +26,11 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Only in local mode, as in tests, may it be unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
     return path.rstrip("/")
 
@@ -52,10 +58,17 @@ def discard(stashed: DataFrame) -> None:
     stashed.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are collected
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table stashed so far.  Only for callers whose earlier results are already written."""
-    while _written:
-        _delete(spark, _written.pop())
+def stashed() -> list[str]:
+    """Paths of the tables stashed so far and not deleted."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these stashed tables.  Only for callers who have written what reads them."""
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            _delete(spark, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

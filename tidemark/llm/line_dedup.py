@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line of a text goes if an earlier line of the corpus is equal to it or, for lines of at least 16 code points,
+A line of a text goes if an earlier line of the corpus is equal to it or, for lines of at least `min_chars` code points,
 within one edit (insertion, deletion or substitution of one code point).  Earlier means smaller (doc_id, hash of
 text, line number); a null doc_id comes first.  Blank lines always stay.
 
@@ -12,7 +12,7 @@ earliest such line is then verified with the edit distance.  No pairs within a g
 variants holds distinct lines only, at most (length + 1) times the alphabet, and keeps a minimum.
 
 Edge cases: null texts have no lines; rows that repeat both doc_id and text are one document and share a decision;
-further columns pass through; an empty table gives an empty result; long texts cost time linear in their length.
+further columns pass through, whatever their names; of equal lines the earliest stays; an empty table gives an empty result; long texts cost time linear in their length.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import stash
 
-MIN_FUZZY_CHARS = 16
+#: Lines shorter than this are not halved first: all of their variants are emitted.
+HALVED = 16
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -60,12 +61,16 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key").groupBy("key", "h1", "h2").agg(F.min("place").alias("place"), F.first("rest").alias("rest"))
 
 
-def near_lines(occurrences: DataFrame) -> DataFrame:
+def near_lines(occurrences: DataFrame, min_chars: int = 16) -> DataFrame:
     """Lines (h1, h2) with an earlier line within one edit, and the place of the earliest: columns h1, h2, earlier."""
-    long = occurrences.where(F.char_length("line") >= MIN_FUZZY_CHARS)
+    long = occurrences.where(F.char_length("line") >= min_chars)
     whole_lines = long.select(F.lit(0).cast("long").alias("key"), F.col("line").alias("rest"), "place", "h1", "h2")
-    first = stash(_shared(_halves(whole_lines, 8)), "line-halves")
-    rests = stash(_shared(_halves(first, 2)), "line-rests")
+    first = stash(_shared(_halves(whole_lines.where(F.char_length("rest") >= HALVED), 8)), "line-halves")
+    rests = _shared(_halves(first, 2))
+    if min_chars < HALVED:  # a short line may be near one that is just long enough to be halved
+        short = whole_lines.where(F.char_length("rest") <= HALVED)
+        rests = rests.unionByName(short.groupBy("key", "h1", "h2").agg(F.min("place").alias("place"), F.first("rest").alias("rest")).select(*rests.columns))
+    rests = stash(rests, "line-rests")
     gap = F.explode(F.expr("sequence(-1, char_length(rest) - 1)"))
     variants = rests.withColumn("gap", gap).select(
         F.xxhash64("key", F.when(F.col("gap") < 0, F.col("rest")).otherwise(F.expr("concat(left(rest, gap), substring(rest, gap + 2))"))).alias("variant"),
@@ -86,10 +91,10 @@ def near_lines(occurrences: DataFrame) -> DataFrame:
     return verified.groupBy("h1", "h2").agg(F.min("earlier").alias("earlier"))
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     """Lines that go, for each document that loses any: doc_id, text_hash, removed (sorted line numbers from 0)."""
     every = _occurrences(docs)
-    near = near_lines(every).select("h1", "h2", F.lit(True).alias("near"))
+    near = near_lines(every, min_chars).select("h1", "h2", F.lit(True).alias("near"))
     bare = every.select("place", "h1", "h2")
     # Most lines are unique: only those that occur again or are near another are carried on.
     lines = bare.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
@@ -110,10 +115,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, batch.column(at["_cut_lines"])], [*names, "_cut_lines"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     """docs with the repeated lines cut out of text; documents of which no line is left go."""
-    gone = line_decisions(docs).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("removed").alias("_cut_lines"))
+    gone = line_decisions(docs, min_chars).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("removed").alias("_cut_lines"))
+    names = docs.columns
+    docs = docs.toDF(*[f"_in_{i}" if n in gone.columns else n for i, n in enumerate(names)])  # columns of the input may have our names
     matched = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_hash")), "left").drop("_cut_id", "_cut_hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matched.schema)
     kept = matched.mapInArrow(_cut, schema)
-    return kept.where("_cut_lines is null or text rlike '[^\\\\s]'").drop("_cut_lines")
+    return kept.where("_cut_lines is null or text rlike '[^\\\\s]'").drop("_cut_lines").toDF(*names)

@@ -10,12 +10,14 @@ threshold goes; all others are confirmed on the full sets, from the texts.
 No bucket is expanded into pairs.  First each member meets the smallest id of its buckets, the best estimate only, and
 confirmed links become components.  Then, in buckets that still hold more than one component, the members outside the
 bucket's largest component are compared with the members of other components, inside a join that only lets links out:
-sizes, then estimates, then intersections of 32-bit hashes.  Links inside a component change nothing, so none that
+sizes, then estimates, then intersections of 32-bit hashes.  Large buckets are dealt over blocks for that.  Links inside a component change nothing, so none that
 matters is lost.  Components come from repeated minimum over links, stored in shared storage at each round.
 
 Edge cases: null, empty and blank texts have the empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; rows that share a doc_id are one node, and their sets link it together; rows without doc_id
-are never linked, have a null component and are kept; further columns of the input are ignored.
+are never linked, have a null component and are kept; of equally good partners the one of smallest id is met first;
+further columns of the input are ignored; an empty table gives an empty result; long texts are read whole, and their
+sets are as large as their different shingles.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import grams, mix, slices, stash, words_of
+from tidemark.llm.common import BROADCAST_IDS, grams, mix, slices, stash, words_of
 
 BANDS, ROWS, BITS = 20, 4, 4
 MINIMA = BANDS * ROWS
-#: Candidate ids up to this many (40 MB) are broadcast to pick texts out of the table; beyond it they are joined by shuffle.
-BROADCAST_IDS = 5_000_000
+#: Members of a bucket that meet the others of it in one task.
+BLOCK = 512
 
 _rng = np.random.default_rng(10)
 _XOR = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         return pairs.join(a, "a").join(b, "b").where(possible).select("a", "b", estimate("sa", "sb").alias("estimate"))
 
     stars = plausible(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    best = stars.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirmed(best, docs, shingle, percent)
     # A doc_id with several sets links them.
     of_doc = usable.join(sets.select("f1", "f2", "n_shingles", "id"), ["f1", "f2", "n_shingles"]).select("doc_id", "id")
@@ -183,12 +185,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     placed = members.select("band", "at", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "at", "id", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("band", F.col("most.root").alias("most"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("roots > 1").select("band", F.col("most.root").alias("most"), "blocks")
     mixed = stash(placed.join(mixed, "band").join(sets.select("id", "signature", "bands", "n_shingles"), "id"), "mixed-buckets")
     mixed = stash(mixed.join(_short_sets(docs, mixed.select(F.col("id").alias("doc_id")).distinct(), shingle), "id"), "mixed-sets")
     # All tests are part of the join's condition, cheapest first: pairs that are no link never become rows.
-    sides = [mixed.select("band", "at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "signature", "bands", "n_shingles", "short")], "most") for s in "xy"]
-    few, every = sides[0].where("root_x <> most").drop("most"), sides[1].drop("most", "at")
+    # A bucket's members are dealt over blocks; those outside its largest component go to all of them, so each pair meets once.
+    sides = [mixed.select("band", "at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "signature", "bands", "n_shingles", "short")], "most", "blocks") for s in "xy"]
+    few = sides[0].where("root_x <> most").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("most", "blocks")
+    every = sides[1].withColumn("block", F.pmod(F.xxhash64("id_y"), F.col("blocks")).cast("int")).drop("most", "at", "blocks")
     earlier = F.lit(False)  # they share a band before this one, where they are compared
     for i in range(BANDS - 1):
         earlier = earlier | ((F.col("at") > i) & (F.col("bands_x")[i] == F.col("bands_y")[i]))
@@ -200,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         & ~earlier
         & (100 * both >= percent * (F.col("n_shingles_x") + F.col("n_shingles_y") - both))
     )
-    cross = few.join(every, "band").where(here).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    cross = few.join(every, ["band", "block"]).where(here).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     more = _confirmed(cross, docs, shingle, percent)
     roots = components(links.union(more))
 

@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GOLDEN, mix, stash
+from tidemark.llm.common import BROADCAST_IDS, GOLDEN, discard, mix, stash
 
 Q = 32
 CLASSES = (128, 16, 1)
 RUN = 1_000_000
-BROADCAST_IDS = 2_000_000
+#: Buckets of more members than this are picked out by broadcast, so that no task gets all of one.
+HOT = 10_000
 #: Odd multipliers of the two rolling hashes, fixed values.
 _BASES = (np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F))
 ROWS = "doc_id long, text_hash long, core long, extent long, offset int, start int, n int"
@@ -167,15 +168,26 @@ def refined(texts: DataFrame, open_: DataFrame, size: int, length: int) -> DataF
     return rows.mapInArrow(cut, ROWS)
 
 
+def _in_buckets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows whose bucket has more than one (sizes: core, k)."""
+    several = stash(sizes.where("k > 1"), "buckets")
+    hot = stash(several.where(F.col("k") > HOT).select("core"), "hot-buckets")
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return rows.join(several.select("core"), "core", "left_semi")
+    large = F.broadcast(hot)
+    return rows.join(large, "core", "left_semi").union(rows.join(large, "core", "left_anti").join(several.select("core"), "core", "left_semi"))
+
+
 def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of members: the ranges whose windows all repeat, and those that stay open (one for each extent of a bucket)."""
-    shared = rows.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    rows = stash(rows.join(shared, "core"), "members")
+    every = stash(rows, "all-members")
+    rows = stash(_in_buckets(every, every.groupBy("core").agg(F.count("*").alias("k"))), "members")
+    discard(every)
     extents = rows.groupBy("core", "extent").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "text_hash", "offset", "start", "n")).alias("one"))
     extents = stash(extents, "extents")
     done = rows.join(extents.where("k > 1").select("core", "extent"), ["core", "extent"]).select("doc_id", "text_hash", "start", "n")
-    mixed = extents.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-    return done, extents.join(mixed, "core").select("one.doc_id", "one.text_hash", "core", "one.offset", "one.start", "one.n")
+    mixed = _in_buckets(extents, extents.groupBy("core").agg(F.count("*").alias("k")))
+    return done, mixed.select("one.doc_id", "one.text_hash", "core", "one.offset", "one.start", "one.n")
 
 
 def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
