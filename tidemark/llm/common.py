@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Tables of ids of up to this many rows are broadcast: two longs each, about 50 MB as a hash table.
 BROADCAST_IDS = 500_000
@@ -36,10 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing.
+
+    The shuffle files of the write are removed when it ends, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path
@@ -55,8 +63,6 @@ def discard(stashed: DataFrame) -> None:
     """Delete one stashed table that nothing reads any more."""
     _written.remove(stashed._stash)
     _delete(stashed.sparkSession, stashed._stash)
-    gc.collect()
-    stashed.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are collected
 
 
 def stashed() -> list[str]:
