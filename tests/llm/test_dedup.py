@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.compare import duck, same
@@ -211,6 +212,23 @@ def test_buckets_dealt_over_blocks(spark, monkeypatch):
     assert one == set(enumerate(root))
 
 
+@pytest.mark.parametrize(("n", "span"), [(40, 300), (3, 10**9), (30, 20_000)])
+def test_common_sizes_against_sets(n, span):
+    """Dense products and pair by pair, with sets of very different sizes, an empty one included."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, span, k).astype(np.int32)) for k in [0, *rng.integers(1, 6000, n)]]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(n), np.arange(1, n + 1), indexing="ij"))
+    some = rng.random(len(x)) < 0.7
+    want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(x[some], y[some], strict=True)]
+    assert minhash._common(sets, x[some], y[some]).tolist() == want
+
+
+def test_runs_of_equal_keys_over_batches():
+    batches = [pa.RecordBatch.from_pydict({"k": k, "v": list(range(len(k)))}) for k in ([], [1, 1, 2], [2, 2], [2, 3], [4])]
+    assert [r.column(0).to_pylist() for r in minhash._runs(iter(batches), ["k"])] == [[1, 1], [2] * 4, [3], [4]]
+    assert list(minhash._runs(iter([]), ["k"])) == []
+
+
 def test_compact_windows_against_definition():
     rng = np.random.default_rng(0)
     for _ in range(100):

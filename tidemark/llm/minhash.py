@@ -9,9 +9,9 @@ threshold goes; all others are confirmed on the full sets, from the texts.
 
 No bucket is expanded into pairs.  First each member meets the smallest id of its buckets, the best estimate only, and
 confirmed links become components.  Then, in buckets that still hold more than one component, the members outside the
-bucket's largest component are compared with the members of other components, inside a join that only lets links out:
-sizes, then estimates, then intersections of 32-bit hashes.  Large buckets are dealt over blocks for that.  Links inside a component change nothing, so none that
-matters is lost.  Components come from repeated minimum over links, stored in shared storage at each round.
+bucket's largest component are compared with the members of other components, a block of either side at a time, and only
+links come out: sizes, then estimates, then intersections of 32-bit hashes.  Links inside a component change nothing, so
+none that matters is lost.  Components come from repeated minimum over links, stored in shared storage at each round.
 
 Edge cases: null, empty and blank texts have the empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; rows that share a doc_id are one node, and their sets link it together; rows without doc_id
@@ -135,8 +135,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 
 def _short_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id and the set of 32-bit shingle hashes of the named documents.  Equal hashes of different shingles only add to an
-    intersection, so that no link is lost; what they add is found when the full sets confirm."""
+    """id and the set of 32-bit shingle hashes of the named documents.  What equal hashes of
+    different shingles add to an intersection is found when the full sets confirm; what they take away is given back."""
     ids = stash(ids, "set-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -156,6 +156,108 @@ def exact_shingles(text: bytes, shingle: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys, each as one batch, from batches that are sorted by them."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        values = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        at = [0, *(1 + np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values]))).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(at[:-2], at[1:-1], strict=True))
+        held = batch.slice(at[-2])
+    if held is not None:
+        yield held
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x[k] and y[k]: by products of 0-1 matrices where many pairs share the sets."""
+    rows, columns = np.unique(x), np.unique(y)
+    used = np.union1d(rows, columns)
+    sizes = np.array([len(sets[r]) for r in used])
+    _, codes, counts = np.unique(np.concatenate([sets[r] for r in used]), return_inverse=True, return_counts=True)
+    n = len(counts)
+    if len(rows) * len(columns) * n > len(x) * (100_000 + 200 * sizes.mean()):  # few pairs of long sets
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    owner, out = np.repeat(np.arange(len(used)), sizes), np.zeros((len(rows), len(columns)), np.float64)
+    at_rows, at_columns = np.searchsorted(used, rows), np.searchsorted(used, columns)
+    order = np.argsort(codes, kind="stable")
+    edges = np.searchsorted(codes[order], np.arange(0, n + 4096, 4096))
+    for k in range(len(edges) - 1):
+        some = order[edges[k] : edges[k + 1]]
+        held = np.zeros((len(used), min(4096, n - 4096 * k)), np.float32)
+        held[owner[some], codes[some] - 4096 * k] = 1
+        out += held[at_rows] @ held[at_columns].T
+    return out[np.searchsorted(rows, x), np.searchsorted(columns, y)].astype(np.int64)
+
+
+def _met(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the possible links between the two sides of a block."""
+    get = {name: group.column(k) for k, name in enumerate(group.schema.names)}
+    ids, root, n = (get[c].to_numpy() for c in ("id", "root", "n_shingles"))
+    few, side, at = (get[c].to_numpy(zero_copy_only=False) for c in ("few", "side", "at"))
+    xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    # Two members outside the largest component meet in both orders; one is enough.
+    meet = (root[xs][:, None] != root[ys]) & (~few[ys] | (ids[xs][:, None] < ids[ys]))
+    meet &= np.minimum(n[xs][:, None], n[ys]) * 100 >= np.maximum(n[xs][:, None], n[ys]) * percent
+    x, y = np.nonzero(meet)
+    x, y = xs[x], ys[y]
+    if len(x):
+        words = _matrix(get["signature"]).view(np.uint64)
+        odd = words[x] ^ words[y]
+        odd |= odd >> np.uint64(1)
+        odd |= odd >> np.uint64(2)
+        same = 1 - np.bitwise_count(odd & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64) / MINIMA
+        likely = (same - 1 / 2**BITS) / (1 - 1 / 2**BITS) >= percent / 100 - 0.25
+        x, y = x[likely], y[likely]
+    if len(x) and at[0]:  # those that share a band before this one meet there
+        bands = _matrix(get["bands"])[:, : at[0]]
+        later = ~(bands[x] == bands[y]).any(axis=1)
+        x, y = x[later], y[later]
+    if len(x):
+        sets = [np.unique(v.values.to_numpy()) for v in get["short"]]
+        lost = n - np.array([len(s) for s in sets])  # different shingles of one hash
+        both = _common(sets, x, y) + np.minimum(lost[x], lost[y])
+        link = 100 * both >= percent * (n[x] + n[y] - both)
+        x, y = x[link], y[link]
+    return ids[x], ids[y]
+
+
+def cross_links(mixed: DataFrame, percent: int) -> DataFrame:
+    """Possible links a, b between members of a bucket that are of different components.
+
+    The members outside a bucket's largest component, in few_blocks blocks, meet all members, in `blocks` blocks; a
+    block of one side and a block of the other are met at a time, so that no task holds more than two of them.
+    """
+    names = ["band", "at", "id", "root", "n_shingles", "signature", "bands", "short"]
+    rows = mixed.select(*names, (F.col("root") != F.col("most")).alias("few"), "few_blocks", "blocks")
+
+    def side(part: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        i, j = (place, every) if number == 0 else (every, place)
+        return part.select(*names, "few", F.lit(number).alias("side"), i.alias("i"), j.alias("j"))
+
+    both = side(rows.where("few"), 0, "few_blocks", "blocks").union(side(rows, 1, "blocks", "few_blocks"))
+    # Work grows with the square of a block and not with its bytes: small partitions must not be put together.
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, ["band", "i", "j"]):
+            x, y = _met(group, percent)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return both.mapInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
     signed = stash(signatures(docs, shingle), "signatures")
@@ -185,26 +287,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     placed = members.select("band", "at", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "at", "id", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("roots > 1").select("band", F.col("most.root").alias("most"), "blocks")
-    mixed = stash(placed.join(mixed, "band").join(sets.select("id", "signature", "bands", "n_shingles"), "id"), "mixed-buckets")
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+    blocks = [F.ceil(n / BLOCK).cast("int").alias(name) for n, name in ((F.col("n") - F.col("most.n"), "few_blocks"), (F.col("n"), "blocks"))]
+    mixed = placed.join(mixed.select("band", F.col("most.root").alias("most"), *blocks), "band").join(sets.select("id", "signature", "bands", "n_shingles"), "id")
+    mixed = stash(mixed, "mixed-buckets")
     mixed = stash(mixed.join(_short_sets(docs, mixed.select(F.col("id").alias("doc_id")).distinct(), shingle), "id"), "mixed-sets")
-    # All tests are part of the join's condition, cheapest first: pairs that are no link never become rows.
-    # A bucket's members are dealt over blocks; those outside its largest component go to all of them, so each pair meets once.
-    sides = [mixed.select("band", "at", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "signature", "bands", "n_shingles", "short")], "most", "blocks") for s in "xy"]
-    few = sides[0].where("root_x <> most").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("most", "blocks")
-    every = sides[1].withColumn("block", F.pmod(F.xxhash64("id_y"), F.col("blocks")).cast("int")).drop("most", "at", "blocks")
-    earlier = F.lit(False)  # they share a band before this one, where they are compared
-    for i in range(BANDS - 1):
-        earlier = earlier | ((F.col("at") > i) & (F.col("bands_x")[i] == F.col("bands_y")[i]))
-    both = F.size(F.array_intersect("short_x", "short_y"))
-    here = (
-        (F.col("root_x") != F.col("root_y"))
-        & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
-        & (estimate("signature_x", "signature_y") >= percent / 100 - 0.25)
-        & ~earlier
-        & (100 * both >= percent * (F.col("n_shingles_x") + F.col("n_shingles_y") - both))
-    )
-    cross = few.join(every, ["band", "block"]).where(here).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    cross = cross_links(mixed, percent).distinct()
     more = _confirmed(cross, docs, shingle, percent)
     roots = components(links.union(more))
 
