@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
+from tidemark.llm import centroids, compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, op12_centroids, pipeline)}
 
 
 #: Lines by (doc_id, position); equal lines keep the first; near lines by all pairs that share eight code points at an end.
@@ -110,5 +114,26 @@ FROM documents d LEFT JOIN gone g USING (doc_id)
 """
 
 
+def _op12(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two common table expressions: nearest centroids, and the floor of their means."""
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "p AS MATERIALIZED (SELECT r, vec_id, unnest(range(64)) AS d, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM v)",
+        f"f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT c, d, x FROM f JOIN p USING (r))",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, min(struct_pack(dist := dist, c := c)) AS b FROM (SELECT r, c, sum((p.x - q.x) * (p.x - q.x)) AS dist FROM p JOIN c{t} q USING (d) GROUP BY ALL) GROUP BY r)")
+        if t < rounds:
+            parts.append(f"m{t} AS (SELECT a.b.c AS c, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM p JOIN a{t} a USING (r) GROUP BY ALL)")
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c, d, coalesce(m.x, q.x) AS x FROM c{t} q LEFT JOIN m{t} m USING (c, d))")
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f""",
+o AS (SELECT r, CAST({last}.b.c AS INTEGER) AS cluster, CAST({last}.b.dist AS BIGINT) AS distance FROM {last}),
+h AS (SELECT CAST(c AS INTEGER) AS cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM o JOIN v USING (r) JOIN h USING (cluster)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op12_centroids": _op12()}
