@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, suffix_dedup
+from tidemark.llm import centroids, compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, ranked, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, op12_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, op11_ranked, op12_centroids, pipeline)}
 
 
 #: Lines by (doc_id, position); equal lines keep the first; near lines by all pairs that share eight code points at an end.
@@ -114,6 +118,23 @@ FROM documents d LEFT JOIN gone g USING (doc_id)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+f AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, z GROUP BY w, docs),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark WHERE text IS NOT NULL),
+u AS (SELECT q, item_id, unnest(w) AS w FROM i),
+s AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM u JOIN f USING (w) JOIN p USING (w) JOIN l USING (r), z GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def _op12(k: int = 40, rounds: int = 5) -> str:
     """Each round as two common table expressions: nearest centroids, and the floor of their means."""
     parts = [
@@ -136,4 +157,4 @@ FROM o JOIN v USING (r) JOIN h USING (cluster)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op12_centroids": _op12()}
+    return {"op2_line_dedup": OP2, "op11_ranked": OP11, "op12_centroids": _op12()}
