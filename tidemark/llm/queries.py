@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, ranked, suffix_dedup
+from tidemark.llm import centroids, compact_windows, decontaminate, fertility, html_extract, line_dedup, minhash, packing, pii, quality, ranked, secret_scan, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(table(spark, sf_dir, "documents"), secret_scan.fit())
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_candidates", "n_added", "n_doubtful")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, op11_ranked, op12_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_quality, op4_pii, op5_suffix_dedup, op6_html, op7_compact_windows, op8_decontamination, op9_best_fit_packing, op10_minhash, op11_ranked, op12_centroids, op13_secrets, pipeline)}
 
 
 #: Lines by (doc_id, position); equal lines keep the first; near lines by all pairs that share eight code points at an end.
