@@ -1,27 +1,19 @@
-"""Spectra of keyed series by joins and sums, and matching of their peaks."""
+"""Spectra of keyed series, and matching of their peaks."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import fourier
 from tidemark.operators.windows import local_maxima
 
 
 def dft(series: DataFrame, by: str, order: str, value: str, bins: int | None = None) -> DataFrame:
-    """Magnitude of the first n / 2 bins of each series of n (order counts from 0), or of `bins` of them at most.
-
-    Each row meets each bin once and is summed before the shuffle; nothing is gathered.
-    """
-    sized = series.join(series.groupBy(by).agg(F.count("*").alias("n")), by)
-    last = F.floor(F.col("n") / 2).cast("int") - 1
-    each = sized.where("n > 1").withColumn("bin", F.explode(F.sequence(F.lit(0), last if bins is None else F.least(last, F.lit(bins - 1)))))
-    # The phase is reduced exactly, as integers, before it becomes an angle.
-    angle = 2 * math.pi * F.pmod(F.col("bin") * F.col(order), F.col("n")) / F.col("n")
-    sums = each.groupBy(by, "bin").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(F.col(value) * F.sin(angle)).alias("im"), F.max("n").alias("n"))
-    return sums.select(by, "bin", (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("magnitude"))
+    """Magnitude of the first n / 2 bins of each series of n (order counts from 0), or of `bins` of them at most."""
+    low = F.floor(F.col("n") / 2) if bins is None else F.least(F.floor(F.col("n") / 2), F.lit(bins))
+    found = fourier.fft(series, by, order, value).where(F.col("bin") < low)
+    return found.select(by, F.col("bin").cast("int").alias("bin"), (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("n")).alias("magnitude"))
 
 
 def peaks(spectrum: DataFrame, by: str, floor: float = 0.05) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.scalar import safe_corr
+from tidemark.operators import fourier
 
 
 def trailing(by: Sequence[str] | str, order: Sequence[str] | str, rows: int) -> WindowSpec:
@@ -58,6 +59,14 @@ def rolled_null_correlation(df: DataFrame, value: str, by: str, order: str, widt
     return both.where(F.col("k") == width).where("r is not null and not isnan(r)").select(by, order, "r")
 
 
+def surrogate_null_correlation(df: DataFrame, value: str, by: str, order: str, width: int, turn: Callable[[Column, Column], Column] | None = None, seed: int = 42) -> DataFrame:
+    """Trailing correlation of a series (order counts from 0) with its phase-scrambled surrogate."""
+    scrambled = fourier.surrogate(df, by, order, value, turn, seed)
+    w = trailing(by, order, width)
+    both = df.select(by, order, value).join(scrambled, [by, order]).withColumn("r", safe_corr(F.col(value), F.col(f"{value}_surrogate"), w)).withColumn("k", F.count("*").over(w))
+    return both.where(F.col("k") == width).where("r is not null and not isnan(r)").select(by, order, "r")
+
+
 def null_threshold(null: DataFrame, by: str, quantile: float = 0.95, low: float = 0.05, high: float = 0.99) -> DataFrame:
     """Exact interpolated quantile of |r|, kept within [low, high]."""
     return null.groupBy(by).agg(F.least(F.greatest(F.percentile(F.abs("r"), quantile), F.lit(low)), F.lit(high)).alias("threshold"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import crc32c, lcg
-from tidemark.operators import canonical, contracts, discover, factorial, gates, intervals, moderators, spectrum, trials, windows
+from tidemark.operators import canonical, contracts, discover, factorial, fourier, gates, intervals, moderators, spectrum, trials, windows
 from tidemark.operators.canonical import CHANNELS
 from tidemark.sources import readers, sinks
 
@@ -256,6 +256,23 @@ def null_threshold_calibration(spark, sf):
     return _rounded(windows.null_threshold(null, "user_id"))
 
 
+@query(
+    f"""WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT user_id, k, max(n) AS n, sum(value * cos(2 * pi() * ((k * t) % n) / n)) AS re, -sum(value * sin(2 * pi() * ((k * t) % n) / n)) AS im, CASE WHEN k = 0 OR 2 * k = max(n) THEN 0 ELSE 2 * pi() * {_lcg2('user_id * 7919 + k * 104729 + 5')} / 2147483648.0 END AS phi
+  FROM s JOIN range(1000000) q(k) ON k <= n // 2 GROUP BY user_id, k),
+g AS (SELECT s.user_id, t, max(value) AS value, sum(CASE WHEN k = 0 OR 2 * k = f.n THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * t) % f.n) / f.n + phi) - im * sin(2 * pi() * ((k * t) % f.n) / f.n + phi)) / f.n) AS scrambled FROM s JOIN f ON f.user_id = s.user_id GROUP BY s.user_id, t),
+r AS (SELECT user_id, covar_pop(value, scrambled) OVER w / nullif(stddev_pop(value) OVER w * stddev_pop(scrambled) OVER w, 0) AS r, count(*) OVER w AS k FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW))
+SELECT user_id, round(least(greatest(quantile_cont(abs(r), 0.95), 0.05), 0.99), 6) AS threshold FROM r WHERE k = 25 AND r IS NOT NULL GROUP BY user_id"""
+)
+def surrogate_null_threshold(spark, sf):
+    """Threshold that correlations with a phase-scrambled surrogate of the same spectrum stay under."""
+    order = windows.Window.partitionBy("user_id").orderBy("event_id")
+    series = table(spark, sf, "events").select("user_id", (F.row_number().over(order) - 1).alias("t"), "value")
+    turn = lambda key, k: lcg(lcg(key * 7919 + k * 104729 + 5)) / 2147483648.0
+    null = windows.surrogate_null_correlation(series, "value", "user_id", "t", 25, turn)
+    return _rounded(windows.null_threshold(null, "user_id"))
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Trial samples: supplier x return flag (A active, R sham, N phantom) x line status (O baseline, F intervention)."""
     arm = F.when(F.col("l_returnflag") == "A", "active").when(F.col("l_returnflag") == "R", "sham").otherwise("phantom")
