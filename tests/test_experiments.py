@@ -182,20 +182,6 @@ def test_spectrum_finds_a_tone(spark):
     assert spectrum.mode_splits(lines, peaks, "k", "bin").count() == 1
 
 
-def test_gaussian_process_against_numpy(spark):
-    rng = np.random.default_rng(0)
-    x, y = rng.random((6, 16)), rng.random(6)
-    observed = spark.createDataFrame([("o", v.tolist(), float(r)) for v, r in zip(x, y, strict=True)], "opt string, features array<double>, response double")
-    cand = pd.DataFrame({"candidate_id": [0, 1], "features": [x[0].tolist(), (x[1] + 3).tolist()]})
-    got = {r.candidate_id: r for r in factorial.gaussian_process(observed, cand, "opt").collect()}
-    scales = np.array(factorial.LENGTH_SCALES)
-    kernel = lambda a, b: np.exp(-0.5 * ((((a[:, None] - b[None]) / scales) ** 2).sum(2)))
-    k = kernel(x, x) + 0.05**2 * np.eye(6)
-    ks = kernel(x, x[:1])
-    assert got[0].mu == pytest.approx(float((ks.T @ np.linalg.solve(k, y - y.mean()))[0] + y.mean()))
-    assert got[0].sigma < got[1].sigma
-
-
 def test_geometry(spark):
     row = spark.range(1).select(factorial.diameters(F.lit("GOLDEN_RATIO_SPHERES"), F.lit(300.0), F.lit(1)).alias("a"), factorial.diameters(F.lit("SHAM_OFF"), F.lit(300.0), F.lit(1)).alias("b")).first()
     assert row.a == pytest.approx([300.0, 185.41, 114.59]) and row.b == [0, 0, 0]

@@ -96,4 +96,4 @@ def t_critical(df: Column) -> Column:
 
 def lcg(seed: Column) -> Column:
     """One step of a linear congruential generator modulo 2^31; use the high bits."""
-    return F.pmod(seed.cast("long") * F.lit(1103515245) + F.lit(12345), F.lit(2**31))
+    return F.pmod(F.pmod(seed.cast("long"), F.lit(2**31)) * F.lit(1103515245) + F.lit(12345), F.lit(2**31))

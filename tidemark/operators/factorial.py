@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import t_critical
+from tidemark.operators import gaussian
 
 #: Category orders of the experiment (fixed values).
 GEOMETRIES = ("GOLDEN_RATIO_SPHERES", "EQUAL_SPHERES", "RANDOM_SPHERES", "SHAM_OFF")
@@ -115,29 +115,9 @@ def kernel_top1(observations: DataFrame, candidates: DataFrame, by: list[str]) -
     return score.groupBy(*by).agg(F.max_by(F.struct("candidate_id", "score"), F.struct("score", -F.col("candidate_id"))).alias("best")).select(*by, "best.candidate_id", "best.score")
 
 
-def gaussian_process(observations: DataFrame, candidates: pd.DataFrame, by: str, kappa: float = 1.96, noise: float = 0.05) -> DataFrame:
-    """Posterior mean and deviation of each candidate for each group, and the upper confidence bound mu + kappa * sigma.
-
-    One Cholesky factor per group; a group is one optimiser's history of trials (tens of rows).
-    """
-    cf = np.array(candidates["features"].tolist(), float)
-    ids = candidates["candidate_id"].to_numpy()
-    scales = np.array(LENGTH_SCALES)
-
-    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.exp(-0.5 * ((((x[:, None, :] - y[None, :, :]) / scales) ** 2).sum(axis=2)))
-
-    def posterior(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(rows["features"].tolist(), float), rows["response"].to_numpy(float)
-        low = np.linalg.cholesky(kernel(x, x) + noise**2 * np.eye(len(x)))
-        cross = kernel(x, cf)
-        half = np.linalg.solve(low, cross)
-        mu = half.T @ np.linalg.solve(low, y - y.mean()) + y.mean()
-        sigma = np.sqrt(np.maximum(1e-4, 1.0 - (half**2).sum(axis=0)))
-        return pd.DataFrame({by: rows[by].iloc[0], "candidate_id": ids, "mu": mu, "sigma": sigma, "bound": mu + kappa * sigma})
-
-    kind = observations.schema[by].dataType.simpleString()
-    return observations.select(by, "features", "response").groupBy(by).applyInPandas(posterior, f"{by} {kind}, candidate_id long, mu double, sigma double, bound double")
+def gaussian_process(observations: DataFrame, candidates: pd.DataFrame, by: str, kappa: float = 1.96, noise_variance: float = 0.05, most: int = 256) -> DataFrame:
+    """Posterior mean and deviation of each candidate for each group, and the upper confidence bound mu + kappa * sigma, from the group's whole history."""
+    return gaussian.posterior(observations, candidates, by, LENGTH_SCALES, kappa, noise_variance, most)
 
 
 def best_candidate(scored: DataFrame, by: str, score: str = "bound") -> DataFrame:

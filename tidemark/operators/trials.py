@@ -61,6 +61,11 @@ def evidence_status(valid: Column, p: Column, ci_low: Column, repeat: Column, d:
     return F.when(~valid, "ARTIFACT_LIKELY").when(strong, "REPEATABLE_DIFFERENCE").when((p < 0.05) & (F.abs(d) >= 0.20), "EXPLORATORY").otherwise("INCONCLUSIVE")
 
 
+def effective_n(n: Column, tau: Column) -> Column:
+    """Independent samples that n autocorrelated ones are worth: N / (2 tau + 1)."""
+    return n / (2.0 * tau + 1.0)
+
+
 def autocorrelation_time(series: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """tau: the first lag up to min(20, n / 2) whose autocorrelation is at most 1 / e; half that limit if none, 1 for short or flat series."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -6,13 +6,14 @@ session, users are streams, and suppliers are trials (return flag = arm, line st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import crc32c, lcg
-from tidemark.operators import canonical, contracts, discover, factorial, fourier, gates, intervals, moderators, spectrum, trials, windows
+from tidemark.operators import canonical, contracts, discover, factorial, gates, intervals, moderators, regression, spectrum, trials, windows
 from tidemark.operators.canonical import CHANNELS
 from tidemark.sources import readers, sinks
 
@@ -207,28 +208,62 @@ def coherence_active(spark, sf):
     return out.select("frame", "is_event", "coherence_active", _r(moderators.synthetic_modulation(F.col("frame"), F.col("coherence_active"))).alias("modulation"))
 
 
-_LCG = "((1103515245 * ({}) + 12345) % 2147483648)"
+_TERMS = ("kp_index", "lunar", "sidereal", "flux")
+
+
+def _sweeps(names: tuple[str, ...]) -> str:
+    """Moments of all pairs as rows (i, j, v), swept by one predictor after the other."""
+    every = [*names, "y"]
+    moments = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({a}, {b}) * count(*) AS v FROM x" for i, a in enumerate(every) for j, b in enumerate(every))
+    parts = [f"s0 AS ({moments})"]
+    for k in range(len(names)):
+        parts.append(
+            f"s{k + 1} AS (SELECT a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN 1 / p.v WHEN a.i = {k} THEN a.v / p.v WHEN a.j = {k} THEN -a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v "
+            f"FROM s{k} a JOIN s{k} p ON p.i = {k} AND p.j = {k} JOIN s{k} c ON c.i = a.i AND c.j = {k} JOIN s{k} r ON r.i = {k} AND r.j = a.j)"
+        )
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH {_D}, q AS (SELECT frame, CAST(frame % 10 AS DOUBLE) AS kp_index, 0.5 + 0.5 * cos(2 * pi() * ((frame / 708.7) % 1.0)) AS lunar, 0.5 + 0.5 * sin(2 * pi() * CAST(frame % 24 AS DOUBLE) / 24.0) AS sidereal, (frame % 31) / 10.0 - 8 AS flux FROM ch),
+e AS (SELECT ch.frame, count(d.edge) AS n FROM ch LEFT JOIN d ON d.frame = ch.frame GROUP BY ch.frame), o AS (SELECT frame, CAST(sum(n) OVER (ORDER BY frame) AS DOUBLE) AS y FROM e),
+x AS (SELECT kp_index, lunar, sidereal, flux, y FROM q JOIN o USING (frame)), {_sweeps(_TERMS)},
+z AS (SELECT b.i, b.v AS coefficient, v.v * m.v AS vif, v.v AS spread FROM s4 b JOIN s4 v ON v.i = b.i AND v.j = b.i JOIN s0 m ON m.i = b.i AND m.j = b.i WHERE b.j = 4 AND b.i < 4),
+t AS (SELECT v AS sse FROM s4 WHERE i = 4 AND j = 4), w AS (SELECT v AS total FROM s0 WHERE i = 4 AND j = 4), c AS (SELECT count(*) AS n FROM x)
+SELECT ['kp_index', 'lunar', 'sidereal', 'flux'][i + 1] AS term, round(coefficient, 4) AS coefficient, round(sqrt(sse / (n - 5) * spread), 4) AS std_error, round(vif, 4) AS vif, n, round(1 - sse / total, 4) AS r_squared FROM z, t, w, c"""
+)
+def moderator_regression(spark, sf):
+    """Cumulative discoveries on the environment's moderators, with inflation factors."""
+    f = F.col("frame")
+    cov = _covariates(spark, sf)
+    x = cov.select("frame", "kp_index", (0.5 + 0.5 * F.cos(2 * math.pi * F.pmod("lunar_phase", F.lit(1.0)))).alias("lunar"), (0.5 + 0.5 * F.sin(2 * math.pi * F.col("sidereal_time") / 24.0)).alias("sidereal"), F.log10("xray_flux").alias("flux"))
+    total = discover.per_frame_counts(hourly(spark, sf), discover.discoveries(pairs(spark, sf), 0.32)).select(f, F.col("total").cast("double").alias("y"))
+    model = regression.linear_model(x.join(total, "frame"), [], "y", _TERMS).where("term <> 'intercept'")
+    return _rounded(model.select("term", "coefficient", "std_error", "vif", "n", "r_squared"), 4)
+
+
+_LCG = "((1103515245 * (({}) % 2147483648) + 12345) % 2147483648)"
 
 
 def _lcg2(seed: str) -> str:
     return _LCG.format(_LCG.format(seed))
 
 
-_WALK = f"steps AS (SELECT a.agent_id, f.frame, CAST(floor({_lcg2('a.agent_id * 7919 + f.frame * 104729 + 1')} / 268435456) AS BIGINT) % 7 - 3 AS dx, CAST(floor({_lcg2('a.agent_id * 6101 + f.frame * 15485863 + 2')} / 268435456) AS BIGINT) % 7 - 3 AS dy FROM range(20) a(agent_id) CROSS JOIN range(200) f(frame)), walk AS (SELECT agent_id, frame, ((agent_id + sum(dx) OVER w) % 32 + 32) % 32 AS x, ((agent_id * 3 + sum(dy) OVER w) % 32 + 32) % 32 AS y FROM steps WINDOW w AS (PARTITION BY agent_id ORDER BY frame))"
+_WALK = f"steps AS (SELECT a.agent_id, f.frame, CAST(floor({_lcg2('a.agent_id * 7919 + f.frame * 104729 + 1')} / 268435456) AS BIGINT) % 7 - 3 AS dx, CAST(floor({_lcg2('a.agent_id * 6101 + f.frame * 15485863 + 2')} / 268435456) AS BIGINT) % 7 - 3 AS dy FROM range(20) a(agent_id) CROSS JOIN ch f), walk AS (SELECT agent_id, frame, ((agent_id + sum(dx) OVER w) % 32 + 32) % 32 AS x, ((agent_id * 3 + sum(dy) OVER w) % 32 + 32) % 32 AS y FROM steps WINDOW w AS (PARTITION BY agent_id ORDER BY frame))"
 
 
-def _walk(spark: SparkSession) -> DataFrame:
-    """Positions of 20 agents over 200 frames on a 32 x 32 ring: a fixed size by its parameters."""
-    cells = spark.range(20).withColumnRenamed("id", "agent_id").crossJoin(spark.range(200).withColumnRenamed("id", "frame"))
+def _walk(frames: DataFrame, agents: int = 20) -> DataFrame:
+    """Positions of `agents` agents over all frames of each session, on a 32 x 32 ring."""
+    cells = frames.select("session_id", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(agents - 1).cast("long"))).alias("agent_id"))
     step = lambda a, f, s: F.pmod(F.floor(lcg(lcg(F.col("agent_id") * a + F.col("frame") * f + s)) / 2**28), F.lit(7)) - 3
-    steps = cells.select(F.lit("hourly").alias("session_id"), "agent_id", "frame", step(7919, 104729, 1).alias("dx"), step(6101, 15485863, 2).alias("dy"), F.col("agent_id").alias("x0"), (F.col("agent_id") * 3).alias("y0"))
+    steps = cells.select("session_id", "agent_id", "frame", step(7919, 104729, 1).alias("dx"), step(6101, 15485863, 2).alias("dy"), F.col("agent_id").alias("x0"), (F.col("agent_id") * 3).alias("y0"))
     x = windows.walk(steps, ["session_id", "agent_id"], "frame", "x0", "dx", 32).withColumnRenamed("position", "x")
     return windows.walk(x, ["session_id", "agent_id"], "frame", "y0", "dy", 32).withColumnRenamed("position", "y").select("session_id", "agent_id", "frame", "x", "y")
 
 
-@query(f"WITH {_WALK} SELECT agent_id, frame, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM walk")
+@query(f"WITH {_CH}, {_WALK} SELECT agent_id, frame, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM walk")
 def agent_walk_positions(spark, sf):
-    return _walk(spark).drop("session_id")
+    return _walk(hourly(spark, sf)).drop("session_id")
 
 
 @query(
@@ -240,7 +275,7 @@ SELECT agent_id, count(*) AS n, round(avg(abs(r)), 4) AS mean_confidence FROM r
 )
 def agent_sampled_corr(spark, sf):
     frames = canonical.zscored(hourly(spark, sf))
-    seen = canonical.sampled(_walk(spark), frames, canonical.basis(spark, 32))
+    seen = canonical.sampled(_walk(frames), frames, canonical.basis(spark, 32))
     r = windows.pair_correlations(seen, CHANNELS[:2], ["session_id", "agent_id"], "frame", 50)
     return r.groupBy("agent_id").agg(F.count("*").alias("n"), _r(F.avg(F.abs("pearson_r")), 4).alias("mean_confidence"))
 
@@ -324,6 +359,12 @@ def autocorr_tau(spark, sf):
     return trials.autocorrelation_time(table(spark, sf, "events"), ["user_id"], "event_id", "value")
 
 
+@query(f"WITH {_tau_sql('events', 'user_id', 'event_id')} SELECT user_id, n, round(n / (2.0 * tau + 1), 6) AS n_effective FROM ta")
+def effective_sample_size(spark, sf):
+    tau = trials.autocorrelation_time(table(spark, sf, "events"), ["user_id"], "event_id", "value")
+    return _rounded(tau.select("user_id", "n", trials.effective_n(F.col("n"), F.col("tau")).alias("n_effective")))
+
+
 _T = _S + ", act AS (SELECT * FROM s WHERE arm = 'active'), " + _tau_sql("act", "trial_id, phase", "idx") + ", tt AS (SELECT trial_id, max(tau) AS tau FROM ta GROUP BY trial_id)"
 _B = f"""{_T}, ln AS (SELECT trial_id, arm, phase, count(*) AS n FROM s WHERE arm IN ('active', 'sham') GROUP BY ALL),
 bl AS (SELECT trial_id, n, greatest(2, least(greatest(2, n // 4), greatest(2, 2 * tau))) AS size FROM (SELECT trial_id, min(n) AS n, count(*) AS k FROM ln GROUP BY trial_id) JOIN tt USING (trial_id) WHERE k = 4),
@@ -456,7 +497,7 @@ def one_hot_rbf_top1(spark, sf):
 @query()
 def gaussian_process_bound(spark, sf):
     conf = factorial.features(configurations(spark, sf))
-    history = conf.where("p_partkey % 40 = 7").select("p_brand", "features", "response")
+    history = conf.select("p_brand", "features", "response")
     candidates = conf.where("p_partkey < 30").select(F.col("p_partkey").alias("candidate_id"), "features").toPandas()  # 30 rows
     return _rounded(factorial.best_candidate(factorial.gaussian_process(history, candidates, "p_brand"), "p_brand"))
 
