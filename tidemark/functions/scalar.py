@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.functions.checksum import crc32c_of
+
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
@@ -38,36 +39,11 @@ def sorted_map(m: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(m)))
 
 
-#: Reflected Castagnoli polynomial (fixed value).
-_CRC32C = 0x82F63B78
-
-
-def _crc_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        table = np.where(table & 1, (table >> 1) ^ np.uint32(_CRC32C), table >> 1)
-    return table.astype(np.uint32)
-
-
 def _crc32c_of(data: pd.Series) -> pd.Series:
-    """CRC-32C of strings (as UTF-8) or bytes: eight upper-case hex digits; null stays null.
-
-    Rows are sorted by length and all advance one byte at a time together.
-    """
-    table = _crc_table()
+    """CRC-32C of strings (as UTF-8) or bytes: eight upper-case hex digits; null stays null."""
     raw = [None if v is None else (v.encode() if isinstance(v, str) else bytes(v)) for v in data]
-    sizes = np.array([-1 if r is None else len(r) for r in raw])
-    order = np.argsort(-sizes, kind="stable")
-    state = np.full(len(raw), 0xFFFFFFFF, np.uint32)
-    joined = np.frombuffer(b"".join(r or b"" for r in raw), np.uint8)
-    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
-    alive, falling = len(raw), sizes[order]
-    for i in range(max(0, int(sizes.max(initial=0)))):
-        while alive and falling[alive - 1] <= i:
-            alive -= 1
-        at = order[:alive]
-        state[at] = table[(state[at] ^ joined[starts[at] + i]) & 0xFF] ^ (state[at] >> np.uint32(8))
-    return pd.Series([None if s < 0 else f"{int(c) ^ 0xFFFFFFFF:08X}" for s, c in zip(sizes, state, strict=True)])
+    sums = crc32c_of([r or b"" for r in raw])
+    return pd.Series([None if r is None else f"{int(c):08X}" for r, c in zip(raw, sums, strict=True)], dtype=object)
 
 
 def crc32c(data: Column | str) -> Column:

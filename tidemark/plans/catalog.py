@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import crc32c, lcg
 from tidemark.operators import canonical, contracts, discover, factorial, gates, intervals, moderators, regression, spectrum, trials, windows
 from tidemark.operators.canonical import CHANNELS
-from tidemark.sources import readers, sinks
+from tidemark.sources import framed, readers, release, sinks
+from tidemark.sources.shared import work_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -538,11 +539,43 @@ def sha256_manifest(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size"))
 
 
-@query()
+_CRC_STEPS = "list_reduce(list_prepend(c.v, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 2197175160) ELSE a >> 1 END)"
+
+
+@query(
+    f"""WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, {_CRC_STEPS} AS v FROM (SELECT i, CAST(i AS BIGINT) AS v FROM range(256) r(i)) c)),
+b AS (SELECT item_id, list_transform(range(octet_length(encode(text))), lambda i: CAST(instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 1, 1)) * 16 - 16 + instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 2, 1)) - 1 AS BIGINT)) AS b FROM benchmark)
+SELECT item_id, printf('%08X', xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)) AS crc32c FROM b, t"""
+)
 def crc32c_records(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", crc32c("text").alias("crc32c"))
 
 
+@query(
+    """WITH e AS (SELECT user_id % 64 AS log, event_id AS sequence, props AS payload FROM events),
+d AS (SELECT log, min(sequence) FILTER (sequence % 211 = 7) AS damaged FROM e GROUP BY log)
+SELECT CAST(log AS VARCHAR) AS log, sequence, payload FROM e JOIN d USING (log) WHERE damaged IS NULL OR sequence < damaged"""
+)
+def framed_log_recovery(spark, sf):
+    """Events written as framed logs, some frames damaged, and what recovery keeps: all before the first damage of each log."""
+    rows = table(spark, sf, "events").select((F.col("user_id") % 64).cast("string").alias("log"), F.col("event_id").alias("sequence"), "props")
+    whole = rows.withColumn("frame", framed.frame("sequence", "props"))
+    torn = F.concat(F.expr("substring(frame, 1, octet_length(frame) - 1)"), F.lit(b"\x00"))
+    path = work_folder(spark, "framed")
+    framed.write_log(whole.withColumn("frame", F.when(F.col("sequence") % 211 == 7, torn).otherwise(F.col("frame"))), path)
+    kept = framed.recovered(framed.read_log(spark, path, splitbytes=1 << 20))
+    return kept.select(F.regexp_extract("path", r"(\d+)\.[^/]*$", 1).alias("log"), "sequence", F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT url AS path, sha256(html) AS sha256, strlen(html) AS size_bytes FROM pages")
+def release_manifest(spark, sf):
+    """Entries of a manifest that was written, committed and read back against its digests."""
+    files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size_bytes"))
+    path = f"{work_folder(spark, 'release')}/manifest.json"
+    release.write_manifest(files, path, {"schema": 2, "release_class": "ENGINEERING_REVIEW_ONLY"})
+    return release.read_section(spark, path, "files", "path string, sha256 string, size_bytes long")
+
+
 @query(
     """WITH r AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'GAP' WHEN 1 THEN 'UNKNOWN' ELSE 'EVENT' END AS record_type, CASE event_id % 7 WHEN 0 THEN 'MODEL_INFERRED' WHEN 1 THEN 'INTERVENTION' ELSE 'RAW_MEASURED' END AS provenance, CASE WHEN event_id % 13 = 0 THEN '1234567' ELSE '0A1B2C3D' END AS crc, event_id % 17 - 1 AS start, event_id % 5 = 0 AS twice, event_id % 22 = 0 AS cause FROM events)
 SELECT event_id, 'enum:record_type' AS rule FROM r WHERE record_type = 'UNKNOWN' UNION ALL SELECT event_id, 'pattern:crc32c' FROM r WHERE crc = '1234567' UNION ALL SELECT event_id, 'range:device_time_start_us' FROM r WHERE start < 0
