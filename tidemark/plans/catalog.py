@@ -17,6 +17,7 @@ from tidemark.operators import canonical, contracts, discover, factorial, gates,
 from tidemark.operators.canonical import CHANNELS
 from tidemark.sources import framed, readers, release, sinks
 from tidemark.sources.shared import work_folder
+from tidemark.streaming import emission, stateful
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -243,6 +244,20 @@ def moderator_regression(spark, sf):
     return _rounded(model.select("term", "coefficient", "std_error", "vif", "n", "r_squared"), 4)
 
 
+@query(f"WITH {_CH}, {_Z}, e AS (SELECT frame, em_rf > 2 AS is_event, frame - max(CASE WHEN em_rf > 2 THEN frame END) OVER (ORDER BY frame) AS since FROM z) SELECT frame, coalesce(since <= 15, false) AS coherence_active FROM e")
+def streaming_coherence(spark, sf):
+    """The recording written in three parts and read as a stream: state passes from batch to batch, and each batch is committed once."""
+    frames = canonical.zscored(hourly(spark, sf)).select("session_id", "frame", F.timestamp_seconds(1_700_000_000 + F.col("frame") * 3600).alias("ts"), (F.col("em_rf") > 2).alias("is_event"), F.lit(15).alias("window"))
+    path = work_folder(spark, "stream")
+    third = (frames.agg(F.max("frame")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        frames.where((F.col("frame") >= k * third) & (F.col("frame") < (k + 1) * third)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with stateful.rocksdb(spark):
+        emission.emit(stateful.live_coherence(stream, ttl_ms=10**13), path, "coherence")
+    return emission.committed(spark, path, "coherence", stateful.COHERENT).where("kind = 'FRAME'").select("frame", "coherence_active")
+
+
 _LCG = "((1103515245 * (({}) % 2147483648) + 12345) % 2147483648)"
 
 
