@@ -360,6 +360,17 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {2, 3}
 
 
+def test_leaks_without_an_id_go_and_short_items_take_nothing_else(spark):
+    item, short = "one two three four five six seven eight nine ten eleven twelve", "where is the dog"
+    docs = [(None, f"before {item} after"), (None, "a clean text of several words that stays"), (1, "this is the house and that is the garden"), (2, "tell me where is the dog now"), (3, f"x {item}"), (3, "another text with the id of a leak"), (4, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _leak", "2 as _id", "3 as n")
+    bench = spark.createDataFrame([(1, item), (2, short), (None, None)], "item_id long, text string")
+    got = decontaminate.without_leaks(df, bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == sorted([("None", docs[1][1]), ("1", docs[2][1]), ("4", ""), ("None", "")])
+    assert got[0].asDict().keys() == {"doc_id", "text", "_leak", "_id", "n"}
+
+
+
 def test_edited_leaks_beside_an_exact_one(spark):
     rng = np.random.default_rng(8)
     words = lambda n: [f"t{x}" for x in rng.integers(0, 5000, n)]

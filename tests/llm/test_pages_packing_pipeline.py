@@ -210,6 +210,23 @@ def test_odd_documents_through_the_pipeline(spark, odd, sf):
     import corpus_pipeline
 
     docs = odd.select("doc_id", "text", "lang", "source", odd["n_chars"].cast("long").alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES:
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
         docs = spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
-    assert len(ODD) >= 0 and "sequence_id" in docs.columns
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns and 0 < docs.count() <= before.count(), name
+    lengths = docs.groupBy("sequence_id").sum("length").collect()
+    assert "sequence_id" in docs.columns and all(r[1] <= 4096 for r in lengths) and docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_short_and_bare_articles(spark):
+    """A single short paragraph, bare sentences with line breaks, an empty table, and pages of clutter alone."""
+    nav = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">About us</a></li></ul></nav>'
+    foot = "<footer><p>&copy; 2024 Some Company. All rights reserved.</p></footer>"
+    bodies = ['<div class="wrap"><p>Short note of one line.</p></div>', '<div id="c"><h1>Title of it</h1>First sentence here.<br><br>Second sentence there.</div>', "<p>Only.</p>", "<div>Bare text alone</div>", ""]
+    want = ["Short note of one line.", "Title of it\nFirst sentence here. Second sentence there.", "Only.", "Bare text alone", ""]
+    pages = spark.createDataFrame([(i, "u", f"<html><body>{nav}{b}{foot}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    model = html_extract.fit(pages)
+    assert [r["text"] for r in html_extract.extract(pages, model).orderBy("page_id").collect()] == want
+    none = pages.where("page_id > 100")
+    assert html_extract.extract(none, html_extract.fit(none)).collect() == []

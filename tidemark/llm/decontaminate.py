@@ -180,7 +180,7 @@ def _found(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(find, PASSAGES)
 
 
-def _block(docs: DataFrame, part: DataFrame, least: float) -> DataFrame:
+def _block(docs: DataFrame, part: DataFrame, least: float, least_words: int) -> DataFrame:
     rows = part.select("item_id", "words").collect()  # BLOCK_WORDS words at most, or one longer item
     items = Items([np.frombuffer(r["words"], np.uint64) for r in rows], least)
     items.choose(_counted(docs, items))
@@ -193,7 +193,7 @@ def _block(docs: DataFrame, part: DataFrame, least: float) -> DataFrame:
             for content, item, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s, t = np.frombuffer(words, np.uint64), items.words[item]
                 best, end = align(s, t)
-                if best >= least * 2 * len(t):
+                if best >= least * 2 * len(t) and best >= 2 * min(len(t), least_words):
                     back = align(s[:end][::-1], t[::-1])[1]
                     out.append((content, item, best / (2 * len(t)), end - back, end))
             columns = list(zip(*out, strict=True)) or [()] * len(_ALIGNED)
@@ -208,20 +208,29 @@ def _block(docs: DataFrame, part: DataFrame, least: float) -> DataFrame:
 _ALIGNED = pa.schema([("content", pa.string()), ("item", pa.int32()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 4, least: float = 0.5) -> DataFrame:
-    """Pairs of document and item whose alignment reaches `least` of the item's perfect score, with the place of the best."""
+def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 4, least: float = 0.5, least_words: int = 0) -> DataFrame:
+    """Pairs of document and item whose alignment reaches `least` of the item's perfect score, and that of `least_words` words (of all, if it has fewer), with the place of the best."""
     items = stash(_items(benchmark, min_words), "items")
     n_blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS)
     found = docs.sparkSession.createDataFrame([], LEAKS)
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("at"), F.lit(n_blocks)) == k)
         if n_blocks == 1 or not part.isEmpty():
-            found = found.union(_block(docs, part, least))
+            found = found.union(_block(docs, part, least, least_words))
     best = F.max(F.struct("score", -F.col("start_word"), "end_word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.col2")).alias("start_word"), F.col("best.end_word").alias("end_word"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a copy of a test item."""
-    gone = leaks(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(stash(gone, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 8, **options) -> DataFrame:
+    """docs without the documents that hold a copy of a test item.
+
+    Leaks are found by text, so that documents without an id go as well; rows that share an id with one go with it.  A
+    copy has at least `least_words` matching words, or the whole item: two common words in a row are no copy of a short one.
+    """
+    key = F.xxhash64("text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, least_words=least_words, **options)
+    keys = stash(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    own = docs.where("doc_id is not null").select("doc_id", key.alias("key"))
+    ids = stash(own.join(keys, own["key"] == keys["_leak"], "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    left = docs.join(keys, F.xxhash64(docs["text"]) == keys["_leak"], "left_anti")
+    return left.join(ids, left["doc_id"] == ids["_id"], "left_anti").select(*docs.columns)

@@ -215,7 +215,27 @@ class TreeModel:
             return ""
         page = parse(source)
         p = self.marginals(page)
-        return "\n".join(text for node, text in page.segments if p[node] > 0.5)
+        return "\n".join(text for node, text in page.segments if p[node] > 0.5) or _likeliest(page, p)
+
+
+def _likeliest(page: Page, p: list[float]) -> str:
+    """Where no element is likelier content than not: the subtree around the likeliest text outside of all clutter, as far up as it holds none; empty if all text is clutter."""
+    clutter = [False] * len(page.nodes)
+    for i, v in enumerate(page.nodes):
+        clutter[i] = v.against or _TAG_AT.get(v.tag, 12) in (0, 2, 3, 4) or (v.parent >= 0 and clutter[v.parent])
+    own = [node for node, _ in page.segments if not clutter[node]]
+    if not own:
+        return ""
+    mixed = list(clutter)  # whether an element holds clutter
+    for i in range(len(page.nodes) - 1, 0, -1):
+        mixed[page.nodes[i].parent] |= mixed[i]
+    top = max(own, key=lambda i: (p[i], -i))
+    while page.nodes[top].parent > 0 and page.nodes[page.nodes[top].parent].tag not in ("body", "html") and not mixed[page.nodes[top].parent]:
+        top = page.nodes[top].parent
+    inside = [False] * len(page.nodes)
+    for i in range(top, len(page.nodes)):
+        inside[i] = i == top or (page.nodes[i].parent >= top and inside[page.nodes[i].parent])
+    return "\n".join(text for node, text in page.segments if inside[node])
 
 
 def _pass(odds: float, agree: float) -> float:
@@ -312,7 +332,10 @@ def labelled_pages(n: int = 480, seed: int = 6) -> list[str]:
             parts = [f"<h1>{words(1, 5)}</h1>"] * (rng.random() < 0.4) + [f"<p>{prose(1, 2)}</p>" for _ in range(rng.randint(1, 3))] + [links()] * (rng.random() < 0.3)
         else:
             parts = [f"<h1>{words(1, 8)}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12]))]
-        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        bare_text = rng.random() < 0.12  # sentences and line breaks without elements, or one short paragraph
+        if bare_text:
+            parts = [f"<h1>{words(1, 5)}</h1>"] * (rng.random() < 0.6) + [rng.choice(["<br><br>", "<br>"]).join(prose(1, 2) for _ in range(rng.randint(1, 4)))] if rng.random() < 0.6 else [f"<p>{words(3, 7).capitalize()}.</p>"]
+        for _ in range(0 if bare_text else rng.choice([0, 0, 0, 1, 2])):
             parts.insert(rng.randint(0, len(parts)), clutter())
         bare = [("div", "div"), (f'div class="{rng.choice(["wrap", "container", "share-story", "page", "col-8", "inner", "layout row", "x1"])}"', "div"), (f'section id="{rng.choice(["s1", "middle", "center"])}"', "section")]
         open_, close_ = rng.choice([("article", "article")] * 4 + [("main", "main"), ('div class="content"', "div"), ('div id="post"', "div"), ('div class="entry-content"', "div")] + bare * 2)
