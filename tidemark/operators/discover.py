@@ -63,6 +63,23 @@ def per_frame_counts(frames: DataFrame, found: DataFrame, by: str = "session_id"
     return full.withColumn("total", F.sum("n").over(running(by, "frame")))
 
 
+def last_edges(frames: DataFrame, found: DataFrame, order: Column, by: str = "session_id") -> DataFrame:
+    """The last edge discovered in each frame, null where there is none."""
+    last = found.groupBy(by, "frame").agg(F.max_by("edge", order).alias("last_edge"))
+    return frames.select(by, "frame").join(last, [by, "frame"], "left")
+
+
+def operator_density(agents: Column, size: Column) -> Column:
+    """Agents for each cell of a square grid."""
+    return agents / (size * size).cast("double")
+
+
+def field_measures(cells: DataFrame, by: list[str], dispersed: str, measured: tuple[str, ...], control: str) -> DataFrame:
+    """Of a frame's cells: deviation of one channel, and mean absolute values of others by that of the control channel."""
+    floor = F.greatest(F.avg(F.abs(control)), F.lit(1e-12))
+    return cells.groupBy(*by).agg(F.stddev_pop(dispersed).alias("reg_variance_deviation"), *[(F.avg(F.abs(c)) / floor).alias(f"{c}_short_long") for c in measured])
+
+
 def density(pairs: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """Share of windows above the threshold."""
     return pairs.groupBy(*by).agg(F.avg((F.abs("pearson_r") > threshold).cast("double")).alias("density"), F.count("*").alias("n"))
@@ -88,3 +105,11 @@ def run_summary(found: DataFrame, frames: DataFrame, by: str = "session_id") ->
     kinds = found.groupBy(by, "operator_type").agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("total_discoveries"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("operator_type", "n")))).alias("discoveries_by_operator_type"))
     coherent = frames.groupBy(by).agg(F.array_sort(F.collect_list(F.when(F.col("is_event"), F.col("frame")))).alias("coherence_frames"), F.count("*").alias("frames"))
     return coherent.join(kinds, by, "left").withColumns({"coherence_frame_count": F.size("coherence_frames"), "total_discoveries": F.coalesce("total_discoveries", F.lit(0))})
+
+
+def run_metrics(found: DataFrame, frames: DataFrame, run: dict, by: str = "session_id") -> DataFrame:
+    """The fifteen keys of a session's metrics; `run` gives those that no data hold: output_path, preset, experiment,
+    agents, field_res, seed, backend, calibration_threshold and generated_at."""
+    history = per_frame_counts(frames, found, by).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "n"))), lambda x: x["n"]).alias("discovery_rate_history"))
+    given = {k: F.lit(v) for k, v in run.items()}
+    return run_summary(found, frames, by).join(history, by).withColumns(given)

@@ -83,6 +83,14 @@ def session_components(trials: DataFrame, by: list[str], session: str) -> DataFr
     return full.withColumns(se).withColumn("t", t_critical(F.col("df"))).select(*by, "status", "sessions", "n", "grand_mean", "var_u", "var_e", "b1", "b2", "b3", "se1", "se2", "se3", "t")
 
 
+def coupling_sums(matrix: Column) -> tuple[Column, Column]:
+    """Row and column sums of a square matrix given as an array of rows."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    rows = F.transform(matrix, total)
+    columns = F.transform(F.sequence(F.lit(0), F.size(matrix) - 1), lambda j: total(F.transform(matrix, lambda r: F.get(r, j))))
+    return rows, columns
+
+
 def one_hot(category: Column, categories: tuple[str, ...]) -> Column:
     """1.0 at the category's place; all zero for an unknown one."""
     return F.transform(F.array(*[F.lit(c) for c in categories]), lambda x: F.coalesce((x == category).cast("double"), F.lit(0.0)))

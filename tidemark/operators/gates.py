@@ -56,7 +56,7 @@ def fingerprint(fields: dict[str, Column], lists: dict[str, Column] | None = Non
     """SHA-256 of a JSON object with sorted keys and spaced separators; lists are arrays of strings, sorted."""
     lists = lists or {}
     values = {k: F.coalesce(json_string(v), F.lit("null")) for k, v in fields.items()}
-    values |= {k: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.coalesce(v, F.array().cast("array<string>"))), lambda x: F.coalesce(json_string(x), json_string(F.lit("")))), ", "), F.lit("]")) for k, v in lists.items()}
+    values |= {k: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.coalesce(v, F.array().cast("array<string>"))), lambda x: F.coalesce(json_string(x), F.lit("null"))), ", "), F.lit("]")) for k, v in lists.items()}
     parts = [F.concat(F.lit(f'"{k}": '), values[k]) for k in sorted(values)]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
@@ -80,7 +80,11 @@ def same_order(have: Column, wanted: Sequence[str]) -> Column:
     return have == F.array(*[F.lit(w) for w in wanted])
 
 
-def forbidden(nets: DataFrame, net: str, keywords: Sequence[str] = ("RESONANCE_DRIVE", "R_OUTER_V", "R_CORE_RF", "CHAMBER_HV", "50_OHM_RF")) -> DataFrame:
+#: Words of nets that a board must not have (fixed values).
+FORBIDDEN = ("RESONANCE_DRIVE", "R_OUTER_V", "R_CORE_RF", "CHAMBER_HV", "50_OHM_RF")
+
+
+def forbidden(nets: DataFrame, net: str, keywords: Sequence[str] = FORBIDDEN) -> DataFrame:
     """Nets whose name holds a forbidden keyword: one pattern, not a cross join."""
     return nets.where(F.col(net).rlike("|".join(keywords)))
 
@@ -97,7 +101,9 @@ def report_counts(violations: DataFrame, unconnected: DataFrame, by: str = "boar
     """Violations, unconnected items and the nets they leave open, of each board; description names the net."""
     a = violations.groupBy(by).agg(F.count("*").alias("violations"))
     b = unconnected.groupBy(by).agg(F.count("*").alias("unconnected"), F.countDistinct(net_of(F.col("description"))).alias("nets"))
-    return a.join(b, by, "full").fillna(0)
+    b = b.withColumnRenamed(by, "_by")
+    counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("violations", "unconnected", "nets")}
+    return a.join(b, F.col(by).eqNullSafe(F.col("_by")), "full").withColumn(by, F.coalesce(by, "_by")).drop("_by").withColumns(counts)
 
 
 def gate_summary(checks: DataFrame) -> DataFrame:

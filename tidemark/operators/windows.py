@@ -83,6 +83,17 @@ def gaps(df: DataFrame, by: str, sequence: str) -> DataFrame:
     return df.select(by, sequence).distinct().withColumn("before", before).where(F.col(sequence) - F.col("before") > 1).select(by, (F.col("before") + 1).alias("first_missing"), (F.col(sequence) - 1).alias("last_missing"))
 
 
+def last_difference(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """The last value of each series and its difference from the one before."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(by).orderBy(order))
+    return df.select(by, order, value, step.alias("difference")).groupBy(by).agg(F.max_by(value, order).alias("last"), F.max_by("difference", order).alias("difference"))
+
+
+def next_scheduled(schedule: DataFrame, done: DataFrame, by: str, index: str) -> DataFrame:
+    """The first entry of each schedule (by, index) that is not done: what a queue would give next."""
+    return schedule.join(done.select(by, index), [by, index], "left_anti").groupBy(by).agg(F.min(index).alias(index))
+
+
 def valid_prefix(df: DataFrame, by: str, order: str, valid: Column) -> DataFrame:
     """Rows before the first invalid one of each key."""
     return df.withColumn("_ok", F.bool_and(valid).over(running(by, order))).where("_ok").drop("_ok")

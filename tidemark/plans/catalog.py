@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import crc32c, lcg
 from tidemark.operators import canonical, contracts, discover, factorial, gates, intervals, moderators, regression, spectrum, trials, windows
 from tidemark.operators.canonical import CHANNELS
+from tidemark.plans.parameters import resolved
 from tidemark.sources import framed, readers, release, sinks
 from tidemark.sources.shared import work_folder
 from tidemark.streaming import emission, stateful
@@ -771,6 +772,72 @@ def model_result_records(spark, sf):
     return sinks.model_result(summary, "2.0.0", "tidemark", F.lit("run.json"), F.lit(0).cast("long"), F.col("frames") * 3_600_000_000, ("PPG", "EDA"))
 
 
+@query(f"WITH {_D}, o AS (SELECT frame, arg_max(edge, edge) AS last_edge FROM d GROUP BY frame) SELECT ch.frame, last_edge FROM ch LEFT JOIN o USING (frame)")
+def last_edge_by_frame(spark, sf):
+    return discover.last_edges(hourly(spark, sf), discover.discoveries(pairs(spark, sf), 0.32), F.col("edge")).drop("session_id")
+
+
+@query("SELECT user_id, round(stddev_pop(CASE WHEN event_type = 'purchase' THEN value END), 6) AS deviation, round(avg(abs(CASE WHEN event_type = 'view' THEN value END)) / greatest(avg(abs(CASE WHEN event_type = 'error' THEN value END)), 1e-12), 4) AS ratio FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0")
+def field_measures(spark, sf):
+    cells = table(spark, sf, "events").select("user_id", *[F.when(F.col("event_type") == e, F.col("value")).alias(c) for c, e in EVENT_OF.items()])
+    measured = cells.groupBy("user_id").agg(F.count("control_baseline").alias("n")).where("n > 0").select("user_id")
+    out = discover.field_measures(cells.join(measured, "user_id"), ["user_id"], "consciousness_proxy", ("em_rf",), "control_baseline")
+    return out.select("user_id", _r("reg_variance_deviation").alias("deviation"), _r("em_rf_short_long", 4).alias("ratio"))
+
+
+@query("WITH s AS (SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, round(arg_max(value, event_id), 6) AS last, round(arg_max(d, event_id), 6) AS difference FROM s GROUP BY user_id")
+def last_difference(spark, sf):
+    return _rounded(windows.last_difference(table(spark, sf, "events"), "user_id", "event_id", "value"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
+def next_scheduled(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    begun = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().join(orders, "o_orderkey")
+    return windows.next_scheduled(orders, begun, "o_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, CAST(p_size + p_retailprice AS DOUBLE) AS row_0, CAST(2.0 * p_size + 1 AS DOUBLE) AS row_1, CAST(3.0 * p_size AS DOUBLE) AS column_0, CAST(p_retailprice + 1 AS DOUBLE) AS column_1, CAST((p_size % 50) / 1024.0 AS DOUBLE) AS density FROM part")
+def coupling_sums(spark, sf):
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    rows, columns = factorial.coupling_sums(F.array(F.array(size, price), F.array(2.0 * size, F.lit(1.0))))
+    density = discover.operator_density(F.col("p_size") % 50, F.lit(32))
+    return table(spark, sf, "part").select("p_partkey", rows[0].alias("row_0"), rows[1].alias("row_1"), columns[0].alias("column_0"), columns[1].alias("column_1"), density.alias("density"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_orderkey * 1000 - (max(l_linenumber) OVER (PARTITION BY l_orderkey) - l_linenumber) * 250 AS device_time_us FROM lineitem")
+def sample_times(spark, sf):
+    last = windows.Window.partitionBy("l_orderkey")
+    batches = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 1000).alias("anchor"), F.max("l_linenumber").over(last).alias("last"), F.lit(250).alias("period"))
+    return batches.select("l_orderkey", "l_linenumber", windows.sample_times(batches, "anchor", "last", "l_linenumber", "period").alias("device_time_us"))
+
+
+@query(
+    f"""WITH {_D}, t AS (SELECT count(*) AS total FROM d), h AS (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY frame) AS history, count(*) AS frames FROM (SELECT ch.frame, count(d.edge) AS n FROM ch LEFT JOIN d USING (frame) GROUP BY 1)),
+{_Z}, e AS (SELECT count(*) AS n, coalesce(string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame), '') AS list FROM z WHERE em_rf > 2)
+SELECT 'hourly' AS session_id, 'out/run.html' AS output_path, 'balanced' AS preset, 'balanced' AS experiment, frames, CAST(300 AS INTEGER) AS agents, CAST(128 AS INTEGER) AS field_res, CAST(42 AS INTEGER) AS seed, 'CPU' AS backend, total AS total_discoveries,
+total AS perceiver, e.list AS coherence_frames, CAST(e.n AS INTEGER) AS coherence_frame_count, history AS discovery_rate_history, 0.32::DOUBLE AS calibration_threshold, '1970-01-01T00:00:00+00:00' AS generated_at FROM t, h, e""".replace(f"{_D}, t AS", f"{_D}, t AS")
+)
+def run_metrics_record(spark, sf):
+    run = resolved("balanced")
+    z = canonical.zscored(hourly(spark, sf)).withColumn("is_event", F.col("em_rf") > 2)
+    found = discover.discoveries(pairs(spark, sf), run.threshold).withColumn("operator_type", F.lit("perceiver"))
+    given = {"output_path": "out/run.html", "preset": "balanced", "experiment": "balanced", "agents": run.agents, "field_res": run.grid, "seed": run.seed, "backend": "CPU", "calibration_threshold": run.threshold, "generated_at": "1970-01-01T00:00:00+00:00"}
+    out = discover.run_metrics(found, z, given)
+    text = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("coherence_frames", "discovery_rate_history")}
+    return out.withColumns(text).withColumn("perceiver", F.col("discoveries_by_operator_type")["perceiver"]).drop("discoveries_by_operator_type")
+
+
+@query(f"WITH {_CH} SELECT session_id, frame, round(em_rf, 6) AS em_rf, round(control_baseline, 6) AS control_baseline FROM (SELECT 'hourly' AS session_id, * FROM ch)")
+def telemetry_roundtrip(spark, sf):
+    """The recording written as CSV, read as text and made canonical again."""
+    path = work_folder(spark, "telemetry")
+    frames = hourly(spark, sf).withColumn("timestamp", F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("frame") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    frames.write.option("header", True).csv(path)
+    back = canonical.canonicalise(readers.telemetry_csv(spark, path).drop("frame"), "timestamp")
+    return _rounded(back.select("session_id", "frame", "em_rf", "control_baseline"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -779,11 +846,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-@query("""SELECT v.board, v.violations, coalesce(u.unconnected, 0) AS unconnected, coalesce(u.nets, 0) AS nets FROM (SELECT p_brand AS board, count(*) AS violations FROM part GROUP BY 1) v
-LEFT JOIN (SELECT p_brand AS board, count(*) AS unconnected, count(DISTINCT p_type) AS nets FROM part WHERE p_size > 40 GROUP BY 1) u USING (board)""")
+@query("""SELECT coalesce(v.board, u.board) AS board, coalesce(v.violations, 0) AS violations, coalesce(u.unconnected, 0) AS unconnected, coalesce(u.nets, 0) AS nets FROM (SELECT nullif(p_brand, 'Brand#11') AS board, count(*) AS violations FROM part WHERE p_size < 45 GROUP BY 1) v
+FULL JOIN (SELECT nullif(p_brand, 'Brand#11') AS board, count(*) AS unconnected, count(DISTINCT p_type) AS nets FROM part WHERE p_size > 40 GROUP BY 1) u ON v.board IS NOT DISTINCT FROM u.board""")
 def report_counts(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_brand").alias("board"), "p_size", F.concat(F.lit("pad ["), "p_type", F.lit("] of U1")).alias("description"))
-    return gates.report_counts(part, part.where("p_size > 40"))
+    part = table(spark, sf, "part").select(F.nullif(F.col("p_brand"), F.lit("Brand#11")).alias("board"), "p_size", F.concat(F.lit("pad ["), "p_type", F.lit("] of U1")).alias("description"))
+    return gates.report_counts(part.where("p_size < 45"), part.where("p_size > 40"))
 
 
 @query(

@@ -46,6 +46,13 @@ def samples_of(records: DataFrame) -> DataFrame:
     return records.select("session_id", F.coalesce("device_time_start_us", F.lit(0)).alias("device_time_us"), F.explode(numeric).alias("stream", "value"))
 
 
+def or_null_rows(rows: DataFrame, streams: Sequence[str], n: int = 10) -> DataFrame:
+    """Wide samples (ts and streams), or n rows of zeros a minute apart where there are none."""
+    none = rows.limit(1).agg((F.count("*") == 0).alias("none"))
+    zeros = rows.sparkSession.range(n).crossJoin(F.broadcast(none)).where("none").select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), *[F.lit(0.0).alias(c) for c in streams])  # one row
+    return rows.select("ts", *[F.col(c).cast("double").alias(c) for c in streams]).unionByName(zeros)
+
+
 def wide_samples(samples: DataFrame, streams: Sequence[str]) -> DataFrame:
     """Long samples to one column a stream; streams are named, so no pass looks for them."""
     return samples.groupBy("session_id", "device_time_us").pivot("stream", list(streams)).agg(F.last("value", ignorenulls=True))
@@ -73,12 +80,12 @@ def documents(spark: SparkSession, path: str, items: str | None = None) -> DataF
 
 
 def file_manifest(spark: SparkSession, root: str, globs: Sequence[str]) -> DataFrame:
-    """path, sha256 and size of every file that any glob matches, once each."""
+    """path, sha256 and size of every file that any glob matches, once each, in the order of paths."""
     found = None
     for g in globs:
         part = spark.read.format("binaryFile").option("pathGlobFilter", g).option("recursiveFileLookup", True).load(root)
         found = part if found is None else found.union(part)
-    return found.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).dropDuplicates(["path"])
+    return found.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).dropDuplicates(["path"]).orderBy("path")
 
 
 def whole_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
