@@ -1,4 +1,4 @@
-"""Per-session state over streams: decaying edges, coherence, sequence continuity, and a trailing correlation."""
+"""Per-session state over streams: decaying edges, sequence continuity, and a trailing correlation.  Coherence is in `stateful`."""
 
 from __future__ import annotations
 
