@@ -1,4 +1,4 @@
-"""Exact substring dedup by bucket-pointer refinement.
+"""Exact substring dedup by refinement of buckets of anchored windows, after bucket-pointer refinement.
 
 A byte goes if a string of `length` bytes that covers it starts anywhere else, in the same or another document.
 
@@ -6,8 +6,8 @@ Every window of `length` bytes has an anchor, the leftmost of its q-grams with t
 equal anchors at equal offsets.  The initial buckets are anchors with their surroundings: windows of one anchor
 whose offsets fall into one class of 128 share a core, the bytes that all of them cover, and its hash is the bucket.
 Buckets of one are done.  A bucket whose members also agree on their whole extent is done too: all their windows
-repeat.  Members that differ are refined on the bucket identifiers of later offsets: classes of 16 offsets in the bucket, with a
-longer core, and then single windows.  One member stands for all with equal extents, so groups of copies are refined
+repeat.  Members that differ are refined: classes of 16 offsets in the bucket, with a longer core, and then single
+windows, each named by the bucket it comes from and by its own content instead of by buckets at later offsets.  One member stands for all with equal extents, so groups of copies are refined
 once, and a member that is still open at any step is the only one with its extent, so results need not be sent back.
 Buckets are named by hashes of their parent's name and content: equal content has the same name on every executor
 without a global sort, and (bucket, extent) has 128 bits.
