@@ -838,6 +838,106 @@ def telemetry_roundtrip(spark, sf):
     return _rounded(back.select("session_id", "frame", "em_rf", "control_baseline"))
 
 
+_PHI = "((1 + sqrt(5)) / 2)"
+
+
+@query(
+    f"""WITH d AS (SELECT p_partkey AS k, p_type = 'STANDARD' AS golden, p_retailprice AS outer_mm, p_retailprice / {_PHI} + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0.01 END AS middle, p_retailprice / ({_PHI} * {_PHI}) AS inner_mm, p_size AS w_in, p_size + CASE WHEN p_partkey % 7 = 0 THEN 1.0 ELSE -0.5 END AS w_out,
+p_partkey % 5 = 0 AS simulated, p_partkey % 10 = 0 AS raw, p_partkey % 20 = 5 AS measured FROM part)
+SELECT k AS p_partkey, 'energy' AS rule FROM d WHERE w_out > w_in UNION ALL SELECT k, 'golden_ratio' FROM d WHERE golden AND (abs(middle - outer_mm / {_PHI}) > 0.1 OR abs(inner_mm - outer_mm / ({_PHI} * {_PHI})) > 0.1)
+UNION ALL SELECT k, 'simulated_not_measured' FROM d WHERE simulated AND (raw OR measured)"""
+)
+def physics_gate_violations(spark, sf):
+    phi, k, outer = (1 + 5**0.5) / 2, F.col("p_partkey"), F.col("p_retailprice").cast("double")
+    size = F.col("p_size").cast("double")
+    geometry = F.struct(F.when(F.col("p_type") == "STANDARD", "GOLDEN_RATIO_SPHERES").otherwise("EQUAL_SPHERES").alias("geometry_type"), outer.alias("outer_diameter_mm"), (outer / phi + F.when(k % 3 == 0, 0.5).otherwise(0.01)).alias("middle_diameter_mm"), (outer / phi**2).alias("inner_diameter_mm"))
+    power = F.struct(size.alias("input_power_w"), (size + F.when(k % 7 == 0, 1.0).otherwise(-0.5)).alias("measured_output_power_w"))
+    documents = table(spark, sf, "part").select("p_partkey", geometry.alias("geometry"), power.alias("power_and_energy"), (k % 5 == 0).alias("simulated"), F.when(k % 10 == 0, "RAW_MEASURED").otherwise("SIMULATED").alias("provenance"), F.when(k % 20 == 5, "MEASURED").otherwise("MODEL_INFERRED").alias("interpretation_level"))
+    return contracts.violations(documents, "p_partkey", contracts.physics_gate())
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS k FROM orders)
+SELECT k AS o_orderkey, 'enum:preset' AS rule FROM d WHERE k % 9 = 0 UNION ALL SELECT k, 'range:field_parameters.field_res' FROM d WHERE k % 11 = 0 UNION ALL SELECT k, 'range:operator_parameters.discovery_threshold' FROM d WHERE k % 13 = 0
+UNION ALL SELECT k, 'unique:status_flags' FROM d WHERE k % 17 = 0 UNION ALL SELECT k, 'length:run_id' FROM d WHERE k % 19 = 0 UNION ALL SELECT k, 'discoveries' FROM d WHERE k % 23 = 0 UNION ALL SELECT k, 'required:experiment_id' FROM d WHERE k % 29 = 0"""
+)
+def discovery_document_violations(spark, sf):
+    k = F.col("o_orderkey")
+    made = {
+        "schema_version": F.lit("2.0.0"), "experiment_id": F.when(k % 29 != 0, "EXP-1"), "run_id": F.when(k % 19 == 0, "r").otherwise("run-1"), "preset": F.when(k % 9 == 0, "loud").otherwise("baseline"), "provenance": F.lit("DERIVED"), "interpretation_level": F.lit("DERIVED"),
+        "field_parameters": F.struct(F.when(k % 11 == 0, 4).otherwise(64).alias("field_res"), F.lit(4).alias("channels")),
+        "operator_parameters": F.struct(F.lit(3).alias("agent_count"), F.lit(300).alias("memory_depth"), F.lit(50).alias("corr_window"), F.when(k % 13 == 0, 1.5).otherwise(0.32).alias("discovery_threshold"), F.lit(0.995).alias("confidence_decay")),
+        "moderator_parameters": F.struct(F.lit(True).alias("geomagnetic")), "metrics_summary": F.struct(F.lit(5).alias("total_discoveries"), F.lit(0).alias("coherence_frame_count")),
+        "status_flags": F.when(k % 17 == 0, F.array(F.lit("OK"), F.lit("OK"))).otherwise(F.array(F.lit("OK"))),
+        "discoveries": F.array(F.struct(F.when(k % 23 == 0, 1.5).otherwise(0.5).alias("confidence"), F.lit(1).alias("frame"), F.array(F.lit("a"), F.lit("b")).alias("edge"))),
+    }
+    documents = table(spark, sf, "orders").select("o_orderkey", *[v.alias(n) for n, v in made.items()])
+    return contracts.violations(documents, "o_orderkey", contracts.discovery_document())
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 OR (o_orderkey % 100) / 1000.0 >= 0.05 THEN 'INCONCLUSIVE' WHEN o_custkey % 2 = 1 THEN 'SUPPORTS' ELSE 'REFUTES' END AS conclusion FROM orders")
+def trial_conclusions(spark, sf):
+    k = F.col("o_orderkey")
+    trials_ = table(spark, sf, "orders").select(k, ((k % 100) / 1000.0).alias("p"), (F.col("o_custkey") % 2 * 2 - 1).cast("double").alias("effect"), (k % 3 != 0).alias("valid"), F.lit(1.0).alias("registered"), F.when(k % 7 == 0, "PROTOCOL_CHANGED").otherwise("OK").alias("protocol_status"))
+    return trials_.select("o_orderkey", intervals.conclusion("p", "effect", "valid", "registered").alias("conclusion"))
+
+
+@query("SELECT 'u' || user_id AS session_id, event_id * 10 AS device_time_us, stream, round(value, 6) AS value FROM (SELECT user_id, event_id, 'PPG_Red' AS stream, value FROM events WHERE value IS NOT NULL UNION ALL SELECT user_id, event_id, 'flag', CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END FROM events)")
+def session_record_samples(spark, sf):
+    """Session records written as JSON lines, read against their schema and flattened: texts that are no numbers are left out."""
+    i = F.col("event_id")
+    payload = F.create_map(F.lit("PPG_Red"), F.col("value").cast("string"), F.lit("flag"), (i % 2 == 0).cast("string"), F.lit("note"), F.lit("n/a"))
+    records = table(spark, sf, "events").select(F.lit("SAMPLE_CHUNK").alias("record_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), (i * 10).alias("device_time_start_us"), payload.alias("payload"))
+    path = work_folder(spark, "records")
+    sinks.json_records(records, path)
+    return _rounded(readers.samples_of(readers.session_records(spark, path)))
+
+
+@query(f"WITH {_R}, f AS (SELECT ch.frame, r.channel_a, r.channel_b, r.pearson_r FROM ch LEFT JOIN r ON r.frame = ch.frame AND abs(r.pearson_r) > 0.32) SELECT frame, channel_a, channel_b, round(pearson_r, 6) AS pearson_r, round(coalesce(abs(pearson_r), 0.0), 6) AS confidence FROM f")
+def longitudinal_roundtrip(spark, sf):
+    """Discovery history through its compressed CSV and back."""
+    found = discover.discoveries(pairs(spark, sf), 0.32).withColumn("operator_type", F.lit("perceiver"))
+    path = work_folder(spark, "longitudinal")
+    sinks.longitudinal_csv(discover.longitudinal(hourly(spark, sf).select("session_id", "frame"), found).withColumn("moderators", F.create_map(F.lit("m"), F.lit(1.0))), path)
+    back = readers.telemetry_csv(spark, path).where("moderators = '{\"m\":1.0}'")
+    return _rounded(back.select(F.col("frame").cast("long"), F.nullif("channel_a", F.lit("")).alias("channel_a"), F.nullif("channel_b", F.lit("")).alias("channel_b"), F.col("pearson_r").cast("double"), F.col("confidence").cast("double")))
+
+
+@query(f"WITH {_CONF}, k AS (SELECT CASE WHEN geometry = 'GOLDEN_RATIO_SPHERES' THEN 1 ELSE -1 END AS g, CASE WHEN core = 'DUAL_TETRAHEDRON_MERKABA' THEN 1 ELSE -1 END AS c, response FROM conf WHERE geometry IN ('GOLDEN_RATIO_SPHERES', 'EQUAL_SPHERES') AND core IN ('DUAL_TETRAHEDRON_MERKABA', 'SPHERICAL_CORE')) SELECT g, c, count(*) AS n, round(avg(response), 6) AS mean FROM k GROUP BY ALL")
+def confirmatory_cells(spark, sf):
+    cells = factorial.confirmatory(configurations(spark, sf))
+    return _rounded(cells.groupBy("g", "c").agg(F.count("*").alias("n"), F.avg("response").alias("mean")))
+
+
+@query(f"WITH {_SPEC}, ln AS (SELECT k, 12.0 + 9.5 * k AS f FROM range(30) q(k)) SELECT DISTINCT CAST(k AS VARCHAR) AS line FROM ln JOIN pk ON abs(bin - f) > 0.5 AND abs(bin - f) < 8")
+def spectral_mode_splits(spark, sf):
+    """Drive lines with a peak close by, but not on them."""
+    found = _peaks(spark, sf).select("bin").crossJoin(F.broadcast(spark.range(30).select(F.col("id").cast("string").alias("line"))))  # 30 lines
+    lines = spark.range(30).select(F.col("id").cast("string").alias("line"), (12.0 + 9.5 * F.col("id")).alias("f"))
+    return spectrum.mode_splits(lines, found, "line", "bin")
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 4 = 0 OR value IS NULL THEN 0.32 ELSE coalesce(nullif(value, 0.0), 0.32) END, 6) AS threshold FROM events")
+def effective_threshold(spark, sf):
+    calibrated = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", _r(discover.effective_threshold(calibrated, F.lit(0.32))).alias("threshold"))
+
+
+@query("SELECT CASE WHEN d.doc_id IS NULL THEN 'STALE' WHEN d.doc_id % 5 = 0 THEN 'ERROR' WHEN l.doc_id IS NULL THEN 'UNALLOWLISTED' ELSE 'ALLOWED' END AS verdict, count(*) AS n FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1")
+def allowlist_errors(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "error").otherwise("warning").alias("severity"))
+    return gates.allowlisted(found, table(spark, sf, "labels"), "doc_id", errors_pass=False).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1) SELECT 'DUPLICATE_REF' AS kind, p_name AS subject FROM r UNION ALL SELECT 'UNKNOWN_SHEET', p_name FROM part WHERE p_type = 'PROMO' UNION ALL SELECT 'HUMAN_GROUND_ON_LAB', s_name FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0")
+def manifest_faults(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_name").alias("ref"), F.col("p_brand").alias("board"), F.col("p_type").alias("sheet"))
+    sheets = parts.where("sheet <> 'PROMO'").select("board", "sheet").distinct()
+    ground = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("BAT_GND"), F.lit("SYNC"))).otherwise(F.array(F.lit("LAB_GND")))
+    connectors = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "LAB_ISO").otherwise("HUMAN").alias("domain"), ground.alias("pins"))
+    return gates.manifest_violations(parts, sheets, connectors)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
