@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import moderators
+from tidemark.operators import discover, moderators, windows
+from tidemark.operators.canonical import CHANNELS
 from tidemark.sources import sinks
 from tidemark.streaming import emission, stateful
 
@@ -55,6 +57,23 @@ def test_state_goes_after_its_time(spark, tmp_path):
         assert any(r["kind"] == "FORGOTTEN" for r in got) is not want
 
 
+def test_edges_equal_batch_with_a_decay_of_each_frame(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 4))
+    x[:, 1] += 0.8 * x[:, 0]
+    x[40:70, 2] = 1.0  # constant for more than a window
+    rows = [("s", f, datetime(2026, 1, 1) + timedelta(seconds=f), 0.9 + 0.09 * (f % 2), *map(float, x[f])) for f in range(120)]
+    schema = "session_id string, frame long, ts timestamp, decay double, " + ", ".join(f"{c} double" for c in CHANNELS)
+    batch = spark.createDataFrame(rows, schema)
+    maxima = discover.edge_maxima(discover.discoveries(windows.pair_correlations(batch, CHANNELS, ["session_id"], "frame", 20), 0.3))
+    want = {(r["frame"], r["edge"]): r["confidence"] for r in discover.edge_decay(batch, maxima, "decay").collect()}
+    parts = [rows[a:b] for a, b in ((0, 5), (5, 60), (60, 61), (61, 120))] + [rows[7:8]]
+    got = _run(spark, stateful.live_edges(_stream(spark, parts, schema, str(tmp_path)), window=20, threshold=0.3, decay="decay"), str(tmp_path)).collect()
+    edges = {(r["frame"], r["edge"]): r["confidence"] for r in got if r["kind"] == "EDGE"}
+    assert edges.keys() == want.keys() and all(abs(edges[k] - want[k]) < 1e-9 for k in want) and len(want) > 50
+    assert {r["frame"] for r in got if r["kind"] == "LATE"} <= {7}
+
+
 SAMPLES = "stream_id string, sequence long, ts timestamp, payload string"
 
 

@@ -245,15 +245,34 @@ def moderator_regression(spark, sf):
     return _rounded(model.select("term", "coefficient", "std_error", "vif", "n", "r_squared"), 4)
 
 
+def _in_thirds(frames: DataFrame, path: str) -> DataFrame:
+    """A stream over frames that are written in three parts, one after the other."""
+    third = (frames.agg(F.max("frame")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        frames.where((F.col("frame") >= k * third) & (F.col("frame") < (k + 1) * third)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return frames.sparkSession.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query(
+    f"""WITH {_D}, e AS (SELECT DISTINCT edge FROM d), g AS (SELECT ch.frame, e.edge, d.confidence AS m FROM ch CROSS JOIN e LEFT JOIN d ON d.frame = ch.frame AND d.edge = e.edge),
+s AS (SELECT *, exp(max(ln(m) - frame * {_DECAY}) OVER (PARTITION BY edge ORDER BY frame ROWS UNBOUNDED PRECEDING) + (frame + 1) * {_DECAY}) AS c FROM g)
+SELECT frame, edge, round(c, 6) AS confidence FROM s WHERE c >= 0.05"""
+)
+def streaming_edges(spark, sf):
+    """Edges of the recording as a stream in three parts; windows and decay reach over the cuts."""
+    frames = hourly(spark, sf).withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("frame") * 3600))
+    path = work_folder(spark, "stream")
+    with stateful.rocksdb(spark):
+        emission.emit(stateful.live_edges(_in_thirds(frames, path), ttl_ms=10**13), path, "edges")
+    return _rounded(emission.committed(spark, path, "edges", stateful.LIVE_EDGES).where("kind = 'EDGE'").select("frame", "edge", "confidence"))
+
+
 @query(f"WITH {_CH}, {_Z}, e AS (SELECT frame, em_rf > 2 AS is_event, frame - max(CASE WHEN em_rf > 2 THEN frame END) OVER (ORDER BY frame) AS since FROM z) SELECT frame, coalesce(since <= 15, false) AS coherence_active FROM e")
 def streaming_coherence(spark, sf):
     """The recording written in three parts and read as a stream: state passes from batch to batch, and each batch is committed once."""
     frames = canonical.zscored(hourly(spark, sf)).select("session_id", "frame", F.timestamp_seconds(1_700_000_000 + F.col("frame") * 3600).alias("ts"), (F.col("em_rf") > 2).alias("is_event"), F.lit(15).alias("window"))
     path = work_folder(spark, "stream")
-    third = (frames.agg(F.max("frame")).first()[0] or 0) // 3 + 1
-    for k in range(3):
-        frames.where((F.col("frame") >= k * third) & (F.col("frame") < (k + 1) * third)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = _in_thirds(frames, path)
     with stateful.rocksdb(spark):
         emission.emit(stateful.live_coherence(stream, ttl_ms=10**13), path, "coherence")
     return emission.committed(spark, path, "coherence", stateful.COHERENT).where("kind = 'FRAME'").select("frame", "coherence_active")

@@ -1,14 +1,18 @@
-"""Keyed state with timers and expiry: coherence of live sessions, and a bounded reorder buffer."""
+"""Keyed state with timers and expiry: edges and coherence of live sessions, and a bounded reorder buffer."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators.canonical import CHANNELS
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -84,6 +88,86 @@ def live_coherence(frames: DataFrame, delay: str = "1 minute", ttl_ms: int = 86_
     return rows.groupBy("session_id").transformWithStateInPandas(Coherence(ttl_ms, strict), COHERENT, "Append", "EventTime")
 
 
+LIVE_EDGES = "session_id string, frame long, kind string, edge string, confidence double"
+
+
+class Edges(StatefulProcessor):
+    """State of a session: the rows that windows still reach, the edges' confidences, its last frame and its timer."""
+
+    def __init__(self, window: int, threshold: float, least: float, ttl_ms: int):
+        self.window, self.threshold, self.least, self.ttl_ms = window, threshold, least, ttl_ms
+        self.pairs = [(i, j) for i in range(len(CHANNELS)) for j in range(i + 1, len(CHANNELS))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last long, timer long, held binary, edges binary")
+
+    def _found(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """|r| of each pair at each of the last n rows where its window is full and r is above the threshold, else 0."""
+        out = np.zeros((n, len(self.pairs)))
+        if len(rows) < self.window:
+            return out
+        w = np.lib.stride_tricks.sliding_window_view(rows, self.window, axis=0)  # end of window, channel, row
+        centred = w - w.mean(axis=2, keepdims=True)
+        spread = np.sqrt((centred**2).mean(axis=2))
+        for k, (i, j) in enumerate(self.pairs):
+            both = spread[:, i] * spread[:, j]
+            r = np.abs((centred[:, i] * centred[:, j]).mean(axis=1)) / np.where(both > 0, both, 1.0)
+            r = np.where((both > 0) & (r > self.threshold), r, 0.0)
+            out[max(0, n - len(r)) :, k] = r[-n:]
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, timer, held, edges = self.seen.get() or (-1, -1, b"", b"")
+        if 0 <= timer <= timerValues.getCurrentWatermarkInMs():  # timers of a batch fire after its rows
+            self.handle.deleteTimer(timer)
+            last, timer, held, edges = -1, -1, b"", b""
+        batch = pd.concat(list(rows)).sort_values("frame", kind="stable")
+        late = (batch["frame"] <= last) | batch["frame"].duplicated()
+        fresh, out = batch[~late], [(key[0], int(f), "LATE", "", 0.0) for f in batch["frame"][late]]
+        if len(fresh):
+            frames = fresh["frame"].to_numpy()
+            every = np.vstack([np.frombuffer(held).reshape(-1, len(CHANNELS)), fresh[list(CHANNELS)].to_numpy(float)])
+            carry = np.frombuffer(edges) if edges else np.zeros(len(self.pairs))
+            with np.errstate(divide="ignore"):
+                rate = np.log(fresh["decay"].to_numpy(float))[:, None]
+                total = np.cumsum(rate, axis=0)
+                peak = np.maximum.accumulate(np.log(self._found(every, len(fresh))) - total + rate, axis=0)
+                state = np.exp(total + np.maximum(peak, np.log(carry)))
+            state[state < self.least] = 0.0
+            for t, k in zip(*np.nonzero(state), strict=True):
+                i, j = self.pairs[k]
+                out.append((key[0], int(frames[t]), "EDGE", f"{CHANNELS[i]}->{CHANNELS[j]}", float(state[t, k])))
+            until = max(timer, int(fresh["ms"].max()) + self.ttl_ms)
+            if timer >= 0 and timer != until:
+                self.handle.deleteTimer(timer)
+            if timer != until:
+                self.handle.registerTimer(until)
+            keep = every[-(self.window - 1) :] if self.window > 1 else every[:0]
+            self.seen.update((int(frames[-1]), until, np.ascontiguousarray(keep).tobytes(), np.ascontiguousarray(state[-1]).tobytes()))
+        yield pd.DataFrame(out, columns=["session_id", "frame", "kind", "edge", "confidence"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        yield pd.DataFrame({"session_id": pd.Series(dtype=str), "frame": pd.Series(dtype="int64"), "kind": pd.Series(dtype=str), "edge": pd.Series(dtype=str), "confidence": pd.Series(dtype=float)})
+
+    def close(self) -> None:
+        pass
+
+
+def live_edges(frames: DataFrame, window: int = 50, threshold: float = 0.32, decay: float | str = 0.995, least: float = 0.05, delay: str = "1 minute", ttl_ms: int = 86_400_000) -> DataFrame:
+    """Edges of each frame (session_id, frame, ts and the channels) of a stream: trailing correlation, decay and eviction.
+
+    decay is a number, or the column that holds the decay of each frame.  Equal to the batch form under the same terms
+    as `live_coherence`, whose rules for late frames and for sessions that stay away hold here, too; a frame without an
+    edge has no row.
+    """
+    timed = frames.withWatermark("ts", delay)
+    rate = F.col(decay) if isinstance(decay, str) else F.lit(decay)
+    rows = timed.select(F.col("session_id").cast("string").alias("session_id"), F.col("frame").cast("long").alias("frame"), "ts", F.unix_millis("ts").alias("ms"), rate.cast("double").alias("decay"), *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    return rows.groupBy("session_id").transformWithStateInPandas(Edges(window, threshold, least, ttl_ms), LIVE_EDGES, "Append", "EventTime")
+
+
 ORDERED = "stream_id string, kind string, sequence long, ts timestamp, payload string, last_sequence long, n long"
 
 
