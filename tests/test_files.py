@@ -48,7 +48,7 @@ def frames():
     return payloads, encoded(payloads)
 
 
-@pytest.mark.parametrize("split", [37, 256, 10**6])
+@pytest.mark.parametrize("split", [97, 10**6])
 def test_damage_at_any_split(spark, tmp_path, frames, split):
     payloads, raw = frames
     whole, ends, rng = b"".join(raw), np.cumsum([len(r) for r in raw]), random.Random(split)
