@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,8 +88,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give freed memory back to the system.  Python workers live through many tasks and would else keep the most that any took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut record batches into runs of about `limit` bytes of text; null texts become empty."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -100,6 +111,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start), [t or b"" for t in texts.slice(start, stop - start).to_pylist()]
             start = stop
+    trim()
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

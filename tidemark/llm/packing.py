@@ -12,7 +12,9 @@ Ranks come from the cluster: rows are counted by (length, salt), the counts beco
 within (length, salt), so that a length which a third of all pieces has is dealt over all salts.
 
 Edge cases: null and empty texts are one piece of one token (the end mark); repeated rows are packed each for itself;
-a null doc_id is kept; an empty table gives an empty result; further columns of the input are ignored.
+a null doc_id is kept; pieces of equal length are ranked by (doc_id, piece, checksum), and rows that agree on these are
+interchangeable; a text of any length is tokenised whole and cut into pieces; an empty table gives an empty result;
+further columns of the input are ignored.
 """
 
 from __future__ import annotations

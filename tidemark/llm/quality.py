@@ -7,8 +7,9 @@ has not seen turns raw scores into probabilities.
 
 Edge cases: a null or empty text has all statistics zero and is scored like any other; documents without a
 label are scored; duplicate labels of one document count once (the highest); with no usable label, or labels
-of one kind only, every score is the share of positive labels (0.5 without labels); an empty table gives an
-empty result; further columns of the input are ignored.
+of one kind only, every score is the share of positive labels (0.5 without labels); repeated rows are scored each
+for itself, and equal texts have equal scores; texts are read whole, in time linear in their length; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
