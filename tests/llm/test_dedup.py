@@ -309,6 +309,27 @@ def test_passages_of_two_confirmed_pairs_are_linked(spark):
     assert whole >= 97
 
 
+def test_passages_that_only_a_linked_one_links(spark, monkeypatch):
+    """B is like A, and A like P, which two texts have; B is not like P, with which every shared minimum is compared first."""
+    rng = np.random.default_rng(13)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for _ in range(60):
+        p = words(60)
+        a = [*p[:20], "changed", *p[21:]]
+        b = [*a[:40], "again", *a[41:]]
+        rows += [words(70) + x + words(70) for x in (p, p, a, b)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = [{(r.doc_id, r.class_id) for r in compact_windows.passages(docs).collect()}]
+    monkeypatch.setattr(compact_windows, "SMALL", 1)
+    got.append({(r.doc_id, r.class_id) for r in compact_windows.passages(docs).collect()})
+    assert got[0] == got[1], "blocks change nothing"
+    assert all(c // 4 == d // 4 for d, c in got[0])
+    whole = sum(all((4 * k + j, 4 * k) in got[0] for j in range(4)) for k in range(60))
+    print("whole", whole)
+    assert whole >= 58
+
+
 def test_passages_beside_a_common_line(spark, monkeypatch):
     """A line that all texts hold does not hide that some go on alike, whichever way failed minima are compared."""
     rng = np.random.default_rng(11)

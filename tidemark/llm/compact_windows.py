@@ -14,14 +14,14 @@ Windows whose minimum only one text has are dropped by a count before anything i
    of the minimum and at the last.  Runs that two texts have make passages; overlapping ones of a text are one stretch,
    and stretches that share a run are of one class.
 2. An interval join places every minimum in the stretch that holds it.  A key is done once one class holds all its minima.
-3. The minima of all other keys get their context, the shingles of their window.  Each is compared with one
-   representative of the key, of its largest class, and those that fail with each other, inside a join that lets out only
-   pairs with enough shingles in common.  Keys with more than SMALL such minima are first split by the
-   shingles that a minimum does not share with the representative: two that are due to be linked have one in common, so
-   that a line which very many texts hold does not bring those texts together.
-4. Pairs that pass are verified: around the minimum, the stretch of at least MIN_WORDS words of either text that gains
-   most (a shingle that the other has is a gain, any other a loss) must have a Jaccard similarity of 0.8 on five-word shingles.
-   Shingles are compared by 32-bit hashes.
+3. The minima of all other keys are put together by key and content of their window: what goes on alike is one passage at
+   once.  One minimum of each content gets its context, the shingles of its window.
+4. Under each key all contexts of different classes meet, in blocks of SMALL, by products of 0-1 matrices for frequent
+   shingles and by counting for rare ones.  Pairs with enough shingles in common are verified: around the minimum, the
+   stretch of at least MIN_WORDS words of either text that gains most (a shingle that the other has is a gain, any other
+   a loss) must have a Jaccard similarity of 0.8 on five-word shingles.  A pair is left out only if links verified before
+   it, whose stretches have TOGETHER shingles around the minimum in common, make it one class already.  Shingles are
+   compared by 32-bit hashes.
 5. Ends of exact stretches are moved outward word by word as long as another text goes on in the same way.
 
 Equal texts are one text until the end, where every document of a text gets its passages, and copies of a whole text
@@ -29,7 +29,7 @@ of 50 words or more are passages of their own.
 
 Edge cases: null, empty and short texts have no passages; a passage that repeats only inside one text is not reported;
 rows that repeat doc_id and text count once; null doc_ids come last as representatives; of equal minima the first in a
-text counts, and of equally large classes the one of smallest identifier represents; further columns are ignored; an empty
+text counts; further columns are ignored; an empty
 table gives an empty result; long texts are read whole, in time linear in their length.
 """
 
@@ -53,8 +53,10 @@ FUNCTIONS = 3
 GRID = 11
 #: Two passages of a text that have this many shingles in common are one stretch.
 TOGETHER = MIN_SHINGLES // 2
-#: Failed minima of a key up to this many are compared directly; beyond it the key is split first.  Either way is exact.
-SMALL = 2048
+#: Contexts of a key up to this many meet in one block; more are met block against block.  Either way is exact.
+SMALL = 512
+#: Shingles that more contexts of a block have are counted by products of matrices.
+RARE = 16
 #: Tokens of a text that are handled at a time.
 PART = 1 << 20
 _XOR = np.random.default_rng(7).integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
@@ -88,7 +90,7 @@ def compact(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return c, c - left, c + right
 
 
-WINDOWS = "text_hash long, key long, place long"
+WINDOWS = "text_hash long, key long, place long, same long"
 #: A place packs, from the low end: 6 bits each of reach to the right and left, 3 bits of function, and the token's number.
 _LEFT, _FN, _TOKEN = 6, 12, 15
 
@@ -103,7 +105,7 @@ def _ends(starts: np.ndarray, counts: np.ndarray, n: int, size: int) -> np.ndarr
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Compact windows (docs: text_hash, text): key of function and minimum, and their place."""
+    """Compact windows (docs: text_hash, text): key of function and minimum, their place, and a name of their content."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1_500_000):
@@ -117,6 +119,9 @@ def windows(docs: DataFrame) -> DataFrame:
             for begin in range(0, len(every), PART):
                 a, b = max(0, begin - 2 * MIN_TOKENS), min(len(every), begin + PART + 2 * MIN_TOKENS)
                 some, place = every[a:b], np.arange(b - a, dtype=np.uint64)
+                # Sums of the tokens, bare and by place: they name a sequence of tokens.
+                token = mix(some ^ GOLDEN)
+                bare, placed = (np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (token, token * place))
                 for fn in range(FUNCTIONS):
                     minimum = mix(some ^ _XOR[fn])
                     keys = np.where(inside[a:b], (minimum | (_PLACE + np.uint64(1))) & ~_PLACE | place, np.uint64(0))
@@ -125,7 +130,9 @@ def windows(docs: DataFrame) -> DataFrame:
                     c, left, right = c[own], left[own], right[own]
                     which = np.searchsorted(starts, c + a, side="right") - 1
                     packed = (c + a - starts[which]) << _TOKEN | fn << _FN | (c - left) << _LEFT | (right - c)
-                    yield pa.RecordBatch.from_arrays([pa.array(of_text[which]), pa.array((minimum[c] ^ _SALT[fn]).view(np.int64)), pa.array(packed)], ["text_hash", "key", "place"])
+                    total = bare[right + 1] - bare[left]
+                    same = mix(mix(total) + placed[right + 1] - placed[left] - left.astype(np.uint64) * total + (c - left).astype(np.uint64) * GOLDEN)
+                    yield pa.RecordBatch.from_arrays([pa.array(of_text[which]), pa.array((minimum[c] ^ _SALT[fn]).view(np.int64)), pa.array(packed), pa.array(same.view(np.int64))], ["text_hash", "key", "place", "same"])
 
     return docs.mapInArrow(cut, WINDOWS)
 
@@ -203,23 +210,24 @@ def _classes(sides: DataFrame) -> DataFrame:
 
 
 def _held(rows: DataFrame, stretches: DataFrame) -> DataFrame:
-    """rows (key, text_hash, place) with the class of the stretch that holds their token, or one of their own: an interval join by sorting."""
+    """rows (key, text_hash, place, same) with the class of the stretch that holds their token, or one of their own: an interval join by sorting."""
     none, at = F.lit(None).cast("long"), F.shiftright("place", _TOKEN).cast("int").alias("at")
-    both = rows.select("text_hash", at, F.lit(1).alias("kind"), "key", "place", F.lit(None).cast("struct<end:int,class:long>").alias("one")).union(
-        stretches.select("text_hash", F.col("start").alias("at"), F.lit(0), none, none, F.struct("end", "class"))
+    both = rows.select("text_hash", at, F.lit(1).alias("kind"), "key", "place", "same", F.lit(None).cast("struct<end:int,class:long>").alias("one")).union(
+        stretches.select("text_hash", F.col("start").alias("at"), F.lit(0), none, none, none, F.struct("end", "class"))
     )
     w = Window.partitionBy("text_hash").orderBy("at", "kind")
     both = both.withColumn("one", F.last("one", ignorenulls=True).over(w)).where("kind = 1")
     own = F.xxhash64("text_hash", "at", F.lit("open"))
-    return both.select("key", "text_hash", "place", F.when(F.col("one.end") >= F.col("at"), F.col("one.class")).otherwise(own).alias("class"))
+    return both.select("key", "text_hash", "place", "same", F.when(F.col("one.end") >= F.col("at"), F.col("one.class")).otherwise(own).alias("class"))
 
 
-CONTEXTS = "key long, text_hash long, c int, class long, at int, least int, context array<int>"
+CARRIED = "key long, same long, high long, high_place long, class long, blocks int"
+CONTEXTS = f"text_hash long, place long, at int, least int, context array<int>, {CARRIED}"
 
 
 def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (key, text_hash, place, class) with the shingles of their window, the place of its minimum c among them, and
-    the least number of different shingles that a passage in it can have."""
+    """rows (text_hash, place, CARRIED) with the shingles of their window, the place `at` of its minimum among them, and the
+    least number of different shingles that a passage in it can have."""
     wide = _with_texts(rows, docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +238,8 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
             close = np.zeros(len(every), np.int64)
             close[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (order[1:] - order[:-1] < 2 * MIN_SHINGLES)
             again = np.concatenate([[0], np.cumsum(close)])
-            (place, row), (key, _), (klass, _) = _lists(batch, "place"), _lists(batch, "key"), _lists(batch, "class")
-            place = place.to_numpy()
+            (places, row), carried = _lists(batch, "place"), [_lists(batch, x.split()[0])[0] for x in CARRIED.split(", ")]
+            place = places.to_numpy()
             c, left, right = place >> _TOKEN, place >> _LEFT & 63, place & 63
             for some in np.array_split(np.arange(len(c)), 1 + len(c) // 20_000):
                 r = row[some]
@@ -244,7 +252,7 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
                     least[i] = _least_distinct(flat[ends[i] - sizes[i] : ends[i]])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [key.take(pa.array(some)), batch.column(0).take(pa.array(r)), pa.array(c[some].astype(np.int32)), klass.take(pa.array(some)), pa.array((c[some] - a).astype(np.int32)), pa.array(least.astype(np.int32)), lists],
+                    [batch.column(0).take(pa.array(r)), places.take(pa.array(some)), pa.array((c[some] - a).astype(np.int32)), pa.array(least.astype(np.int32)), lists, *(x.take(pa.array(some)) for x in carried)],
                     [x.split()[0] for x in CONTEXTS.split(", ")],
                 )
 
@@ -334,85 +342,205 @@ def aligned(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray
 
 #: Shingles of the widest window.
 _WIDE = 2 * MIN_TOKENS - 1 + TOKEN - SHINGLE
-_AROUND = ["key", "text_hash", "c", "class", "at", "least", "context"]
-LINKS = "key long, text_hash long, c int, start int, end int, other long, other_c int, other_start int, other_end int, similarity double"
-TRIED = f"{LINKS}, class long, at int, least int, context array<int>, n long, rest array<int>"
-
-
-def _padded(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    values, row = _lists(batch, column)
-    size = np.bincount(row, minlength=batch.num_rows)
-    out = np.zeros((batch.num_rows, _WIDE), np.int64)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = values.to_numpy()
-    return out, size
-
-
-def verified(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs of contexts (with `enough`, n and rest) with their passages; similarity is null where there is none.
+SIDES = "link long, text_hash long, start int, end int, similarity double"
+LINKS = f"{SIDES}, key long, same long, from int, to int, core boolean"
+_INTS = ["key", "same", "text_hash", "place", "high", "high_place", "class", "at", "least"]
+
+
+def _counted(owner: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of owners (as x * n + y, x < y) that have codes in common, and how many.  Each owner has a code once."""
+    order = np.lexsort((owner, codes))
+    owner, codes = owner[order], codes[order]
+    ends = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
+    after = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes))
+    other = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + np.repeat(np.arange(1, len(codes) + 1), after)
+    return np.unique(np.repeat(owner, after) * n + owner[other], return_counts=True)
+
+
+def _in_common(owner: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, count of all pairs x < y of n owners that have codes in common."""
+    _, codes, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    often = counts[codes] > RARE
+    pairs, count = _counted(owner[~often], codes[~often], n) if not often.all() else (np.empty(0, np.int64),) * 2
+    if not often.any():
+        return pairs // n, pairs % n, count
+    total = np.zeros((n, n), np.float32)
+    owner, (_, codes) = owner[often], np.unique(codes[often], return_inverse=True)
+    for first in range(0, int(codes.max()) + 1, 4096):
+        some = (codes >= first) & (codes < first + 4096)
+        held = np.zeros((n, 4096), np.float32)
+        held[owner[some], codes[some] - first] = 1
+        total += held @ held.T
+    total.ravel()[pairs] += count
+    x, y = np.nonzero(np.triu(total, 1))
+    return x, y, total[x, y].astype(np.int64)
+
+
+def _candidates(run: np.ndarray, owner: np.ndarray, shingles: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, count of the pairs of rows of a run that have at least enough[x] and enough[y] shingles in common.  run ascends."""
+    entries = np.unique(run[owner].astype(np.uint64) << np.uint64(32) | shingles.view(np.uint32).astype(np.uint64), return_inverse=True)[1]
+    both = np.unique(entries * len(run) + owner)
+    codes, owner = both // len(run), both % len(run)
+    while True:  # what only one row has, and rows that cannot have enough without it
+        often = np.bincount(codes)[codes] > 1
+        often &= (np.bincount(owner[often], minlength=len(run)) >= enough)[owner]
+        if often.all():
+            break
+        codes, owner = codes[often], owner[often]
+    out = []
+    if len(codes):
+        sizes = np.bincount(run)
+        small = sizes[run[owner]] <= 2 * RARE
+        if small.any():
+            pairs, count = _counted(owner[small], codes[small], len(run))
+            out.append((pairs // len(run), pairs % len(run), count))
+        for k in np.unique(run[owner[~small]]).tolist():
+            first = int(np.searchsorted(run, k))
+            some = run[owner] == k
+            x, y, count = _in_common(owner[some] - first, codes[some], int(sizes[k]))
+            out.append((x + first, y + first, count))
+    x, y, count = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+    keep = count >= np.maximum(enough[x], enough[y])
+    return x[keep], y[keep], count[keep]
+
+
+def _joined(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """labels, after those of x[k] and y[k] are made one."""
+    root = np.arange(labels.max() + 1)
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    for a, b in zip(labels[x].tolist(), labels[y].tolist(), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    while (root != root[root]).any():
+        root = root[root]
+    return root[labels]
+
+
+def _met(rows: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """Sides of the links between contexts of the same key and blocks; rows are sorted by them, none is cut."""
+    get = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+    key, same, text, place, high, high_place, klass, at, fewest = (get[n].to_numpy().astype(np.int64) for n in _INTS)
+    i, j, side = (get[n].to_numpy() for n in ("i", "j", "side"))
+    run = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    shingles, owner = _lists(rows, "context")
+    x, y, count = _candidates(run, owner, shingles.to_numpy(), np.ceil(least * fewest - 1e-9).astype(np.int64))
+    one_text = (text[x] == high[x]) & (text[y] == high[y]) & (text[x] == text[y])
+    meet = ~one_text & ((i[x] == j[x]) | (side[x] != side[y]))
+    x, y, count = x[meet], y[meet], count[meet]
+    order = np.argsort(-count, kind="stable")
+    x, y = x[order], y[order]
+    labels = np.unique(np.stack([run, klass]), axis=1, return_inverse=True)[1].ravel()
+    size = np.bincount(owner, minlength=len(run))
+    ends = np.cumsum(size)
+    core = np.clip(at - TOGETHER // 2, 0, size - TOGETHER)
+    values, many = shingles.to_numpy(), 1
+
+    def padded(some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(some), _WIDE), np.int64)
+        r = np.repeat(np.arange(len(some)), size[some])
+        k = np.arange(len(r)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        out[r, k] = values[np.repeat(ends[some] - size[some], size[some]) + k]
+        return out
 
-    Pairs without a passage keep their context if `n` says that other rows of the key may have failed, too.
+    while True:
+        left = labels[x] != labels[y]
+        x, y = x[left], y[left]
+        if not len(x):
+            return
+        # The likeliest pairs of any two classes first, ever more of them, as one link makes the rest needless.
+        a, b = np.minimum(labels[x], labels[y]), np.maximum(labels[x], labels[y])
+        order = np.lexsort((np.arange(len(x)), b, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+        rank = np.empty(len(x), np.int64)
+        rank[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        now = np.flatnonzero(rank < many)
+        many *= 4
+        for begin in range(0, len(now), 4096):
+            u, v = x[now[begin : begin + 4096]], y[now[begin : begin + 4096]]
+            places, similarity = aligned(padded(u), padded(v), size[u], size[v], at[u], at[v], least)
+            ok = similarity > 0
+            u, v, places, similarity = u[ok], v[ok], places[ok], similarity[ok]
+            whole = np.ones(len(u), bool)
+            for k, w in ((0, u), (2, v)):
+                whole &= (places[:, k] <= core[w]) & (places[:, k + 1] >= core[w] + TOGETHER - 1)
+            if whole.any():
+                labels = _joined(labels, u[whole], v[whole])
+            link = mix(mix(same[u].view(np.uint64)) + same[v].view(np.uint64) * GOLDEN + key[u].view(np.uint64)).view(np.int64)
+            for k, w in ((0, u), (2, v)):
+                start, end = places[:, k] - at[w], places[:, k + 1] - at[w]
+                for of, c in ((text[w], place[w] >> _TOKEN), (high[w], high_place[w] >> _TOKEN)):
+                    ints = [pa.array(n.astype(np.int32)) for n in (c + start, c + end)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(link), pa.array(of), *ints, pa.array(similarity), pa.array(key[w]), pa.array(same[w]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(whole)], [n.split()[0] for n in LINKS.split(", ")]
+                    )
+        tested = np.zeros(len(x), bool)
+        tested[now] = True
+        x, y = x[~tested], y[~tested]
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by `names`, cut anew so that rows that agree in them stay together."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = [[b.column(b.schema.get_field_index(n)).to_numpy() for n in names] for b in held[-2:]]
+        differ = np.logical_or.reduce([v != v[-1] for v in last[-1]])
+        cut = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
+        if not cut and len(held) > 1 and any(v[-1] != w[-1] for v, w in zip(*last, strict=True)):
+            yield pa.concat_batches(held[:-1])
+            held = held[-1:]
+        elif cut:
+            yield pa.concat_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def near_links(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Sides of the verified links between rows (key, text_hash, place, same, class) of one key: SIDES.
+
+    Rows of one content are met as one.  Every link has the first and the last text of either content, and a content's
+    best link has all its rows.
     """
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 4096):
-                batch = whole.slice(begin, 4096)
-                get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                numbers = {n: get[n].to_numpy().astype(np.int64) for n in ("c", "at", "other_c", "other_at")}
-                places, similarity = np.zeros((batch.num_rows, 4), np.int64), np.zeros(batch.num_rows)
-                try_ = np.flatnonzero(get["enough"].to_numpy(zero_copy_only=False))
-                if len(try_):
-                    some = batch.take(pa.array(try_))
-                    (x, nx), (y, ny) = _padded(some, "context"), _padded(some, "other_context")
-                    places[try_], similarity[try_] = aligned(x, y, nx, ny, numbers["at"][try_], numbers["other_at"][try_], least)
-                x, y = numbers["c"] - numbers["at"], numbers["other_c"] - numbers["other_at"]
-                ints = [pa.array((places[:, k] + (x if k < 2 else y)).astype(np.int32)) for k in range(4)]
-                found = similarity > 0
-                columns = [get["key"], get["text_hash"], get["c"], *ints[:2], get["other"], get["other_c"], *ints[2:], pa.array(similarity, mask=~found), *(get[n] for n in ("class", "at", "least", "context", "n", "rest"))]
-                out = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TRIED.split(", ")])
-                yield out.filter(pa.array(found | (get["n"].to_numpy() > 1)))
-
-    columns = [*_AROUND, "other", "other_c", "other_at", "other_context", "enough", "n", "rest"]
-    return pairs.select(*columns).mapInArrow(verify, TRIED)
-
-
-def _enough(least: float):
-    """Condition on two contexts: enough shingles in common for a passage of that similarity."""
-    return F.size(F.array_intersect("context", "other_context")) >= F.lit(least) * F.greatest("least", "other_least")
-
-
-def _others(rows: DataFrame, *more: str) -> DataFrame:
-    names = {"text_hash": "other", "class": "other_class", "c": "other_c", "at": "other_at", "least": "other_least", "context": "other_context"}
-    return rows.select("key", *[F.col(a).alias(b) for a, b in names.items()], *more)
-
-
-def near_links(around: DataFrame, least: float) -> DataFrame:
-    """Verified passages of contexts that share a key but no class."""
-    sizes = around.groupBy("key", "class").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "c")).alias("one"))
-    # n: how many rows are not of the class of the representative.
-    best = sizes.groupBy("key").agg(F.max_by("one", F.struct("n", "class")).alias("one"), (F.sum("n") - F.max("n")).alias("n"))
-    best = around.join(best, "key").where((F.col("text_hash") == F.col("one.text_hash")) & (F.col("c") == F.col("one.c")))
-    tried = around.join(_others(best, "n"), "key").where("class <> other_class")
-    common = F.array_intersect("context", "other_context")
-    rest = F.when(F.size(common) < F.lit(least) * F.col("least"), F.array_except("context", "other_context")).otherwise(F.array_distinct("context"))
-    none = F.lit(None).cast("array<int>")
-    tried = stash(verified(tried.withColumns({"enough": _enough(least), "rest": F.when(F.col("n") > SMALL, rest).otherwise(none)}), least), "tried")
-    # What failed is compared with what failed under the same key, and not with rows of the same text.
-    failed = tried.where("similarity is null")
-    groups = failed.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("key")
-    parts = F.explode(F.coalesce("rest", F.array(F.lit(None).cast("int"))))
-    failed = failed.join(groups, "key").withColumn("part", parts).withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part"))).select(*_AROUND)
-    pairs = failed.join(_others(failed), "key").where((F.col("text_hash") < F.col("other")) & (F.col("class") != F.col("other_class")) & _enough(least))
-    pairs = pairs.withColumns({"enough": F.lit(True), "n": F.lit(0).cast("long"), "rest": none})
-    more = verified(pairs, least).select(*_LINKS).dropDuplicates(["text_hash", "c", "other", "other_c"])
-    out = stash(tried.where("similarity is not null").select(*_LINKS).union(more), "near-links")
-    discard(tried)
+    one = rows.groupBy("key", "same").agg(
+        F.min("text_hash").alias("text_hash"), F.min_by("place", "text_hash").alias("place"), F.max("text_hash").alias("high"), F.max_by("place", "text_hash").alias("high_place"), F.min("class").alias("class"), F.max("class").alias("last")
+    )
+    one = stash(one, "contents")
+    keys = one.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b"), F.min("text_hash").alias("c"), F.max("high").alias("d")).where("n > 1 and a <> b and c <> d")
+    some = one.join(keys.select("key", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks")), "key").drop("last")
+    around = contexts(some, docs)
+    own = F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")
+    around = around.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    around = around.select(*_INTS, "context", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"))
+    # Work grows with the square of a block and not with its bytes: small partitions must not be put together.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = around.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_runs(batches, ["key", "i", "j"]):
+            yield from _met(whole, least)
+
+    found = stash(around.mapInArrow(meet, LINKS), "near-links")
+    best = found.groupBy("key", "same").agg(F.max_by(F.struct("link", "from", "to", "similarity"), F.struct("core", "similarity", "link")).alias("best"))
+    at = F.shiftright("place", _TOKEN)
+    members = rows.join(best, ["key", "same"]).select("best.link", "text_hash", (at + F.col("best.from")).cast("int").alias("start"), (at + F.col("best.to")).cast("int").alias("end"), "best.similarity")
+    # Rows of one content and several classes are one passage: their whole windows.
+    mixed = one.where("class <> last and text_hash <> high").select("key", "same")
+    reach = F.shiftright("place", _LEFT).bitwiseAND(F.lit(63)), F.col("place").bitwiseAND(F.lit(63)) + TOKEN - SHINGLE
+    equal = rows.join(mixed, ["key", "same"]).select(F.xxhash64("key", "same").alias("link"), "text_hash", (at - reach[0]).cast("int").alias("start"), (at + reach[1]).cast("int").alias("end"), F.lit(1.0).alias("similarity"))
+    out = stash(found.select(*members.columns).union(members).union(equal).distinct(), "near-sides")
+    discard(found)
+    discard(one)
     return out
 
 
-_LINKS = [x.split()[0] for x in LINKS.split(", ")]
-
-
 EDGES = "text_hash long, at int, side int, steps int, content long"
 
 
@@ -469,13 +597,12 @@ def sides(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame, Da
     held = stash(_held(found, stretches), "held")
     discard(found)
     open_keys = held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("low <> high and a <> b").select("key")
-    around = stash(contexts(held.join(open_keys, "key"), bare), "contexts")
+    left = stash(held.join(open_keys, "key"), "open")
     discard(held)
-    near = near_links(around, least)
-    discard(around)
-    link = F.xxhash64("text_hash", "start", "end", "other", "other_start", "other_end").alias("link")
-    both = near.select(link, "text_hash", "start", "end", "similarity").union(near.select(link, F.col("other").alias("text_hash"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), "similarity"))
-    return docs, exact, stretches.select(F.col("class").alias("link"), "text_hash", "start", "end", "similarity").union(both)
+    near = near_links(left, bare, least)
+    discard(left)
+    names = ["link", "text_hash", "start", "end", "similarity"]
+    return docs, exact, stretches.select(F.col("class").alias("link"), "text_hash", "start", "end", "similarity").union(near.select(*names))
 
 
 def passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
