@@ -81,6 +81,17 @@ def test_autocorrelated_trial_is_significant(spark):
     assert p.p_value < 0.05 and 0 < ci.ci_low < ci.ci_high <= 1 and risk.first().valid_signal
 
 
+def test_bootstrap_in_arrays_and_joined(spark, monkeypatch):
+    """Series in arrays and series joined by place give the same intervals."""
+    s = _signals(spark, "t", active_baseline=_ar1(10, 65, 1), active_intervention=_ar1(15, 62, 2), sham_baseline=_ar1(10, 60, 3), sham_intervention=_ar1(10.1, 68, 4))
+    tau, risk = spark.createDataFrame([("t", 4)], "trial_id string, tau long"), spark.createDataFrame([("t", 0.1)], "trial_id string, em_risk double")
+    got = [trials.bootstrap_interval(s, tau, risk, 40).first()]
+    for long in (0, 63):  # all joined, and two of four
+        monkeypatch.setattr(trials, "LONG", long)
+        got.append(trials.bootstrap_interval(s, tau, risk, 40).first())
+    assert all(r.ci_low == pytest.approx(got[0].ci_low) and r.ci_high == pytest.approx(got[0].ci_high) for r in got)
+
+
 def test_phantom_offset_is_no_artifact(spark):
     s = _signals(spark, "t", active_baseline=[10.0, 10.1, 10.0, 10.2, 10.0], active_intervention=[14.0, 14.2, 14.1, 14.0, 14.3], phantom_baseline=[50.0] * 5, phantom_intervention=[50.01, 50.0, 50.02, 50.01, 50.0])
     got = trials.artifacts(trials.effects(s), F.lit(0.2), F.lit(0.0)).first()
