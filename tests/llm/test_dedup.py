@@ -351,6 +351,48 @@ def test_passages_beside_a_common_line(spark, monkeypatch):
     assert len(got[0]) >= 78
 
 
+def test_links_of_near_copies_do_not_grow_with_their_square(spark, monkeypatch):
+    """All near copies of a passage are one class, of links as many as its minima need and not one for each pair."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    passage, made, stash = words(60), [], compact_windows.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        if name == "near-links":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(compact_windows, "stash", counted)
+    for n in (30, 90):
+        rows = [words(70) + [*passage[:k], "changed", *passage[k + 1 :]] + words(70) for k in rng.integers(0, 60, n).tolist()]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+        found = {r.doc_id for r in compact_windows.passages(docs).collect() if r.class_id == 0}
+        assert len(found) >= 0.95 * n
+    print("links", made)
+    assert made[1] <= 4.5 * made[0]
+
+
+def test_words_are_those_of_bytes(monkeypatch):
+    """The same words as by splitting, in either case and over parts, and hashes that are equal for equal words alone."""
+    rng = np.random.default_rng(18)
+    signs = list(b"aAbB \t\n\r\x0b\x0c\x1c\x85\xc3\xa9")
+    compact_windows._powers.cache_clear()
+    monkeypatch.setattr(compact_windows, "_BYTES", 64)
+    monkeypatch.setattr(compact_windows, "_LONG", 32)
+    for _ in range(100):
+        texts = [bytes(rng.choice(signs, n).tolist()) for n in rng.choice([0, 1, 3, 40, 300], 4)] + [b"Q" * int(n) for n in rng.choice([31, 32, 33, 63, 64, 65, 200], 2)]
+        parts = [t.lower().split() for t in texts]
+        hashes, counts, starts = compact_windows._words(texts)
+        assert counts.tolist() == [len(p) for p in parts]
+        assert all(starts[i] == sum(map(len, parts[:i])) for i in range(len(texts)))
+        names = dict(zip(hashes.tolist(), (w for p in parts for w in p), strict=True))
+        assert len(set(names.values())) == len(names) == len({w for p in parts for w in p})
+        assert all(names[h] == w for h, w in zip(hashes.tolist(), (w for p in parts for w in p), strict=True))
+    compact_windows._powers.cache_clear()
+    assert len(compact_windows._words([])[0]) == 0
+
+
 def test_least_distinct():
     rng = np.random.default_rng(12)
     for _ in range(200):

@@ -20,8 +20,9 @@ Windows whose minimum only one text has are dropped by a count before anything i
    shingles and by counting for rare ones.  Pairs with enough shingles in common are verified: around the minimum, the
    stretch of at least MIN_WORDS words of either text that gains most (a shingle that the other has is a gain, any other
    a loss) must have a Jaccard similarity of 0.8 on five-word shingles.  A pair is left out only if links verified before
-   it, whose stretches have TOGETHER shingles around the minimum in common, make it one class already.  Shingles are
-   compared by 32-bit hashes.
+   it, whose stretches have TOGETHER shingles around the minimum in common, make it one class already.  The likeliest
+   pairs of each class come first, and a link that neither joins anything nor makes a stretch longer is not written, so
+   that links do not grow with the square of a group.  Shingles are compared by 32-bit hashes.
 5. Ends of exact stretches are moved outward word by word as long as another text goes on in the same way.
 
 Equal texts are one text until the end, where every document of a text gets its passages, and copies of a whole text
@@ -36,14 +37,16 @@ table gives an empty result; long texts are read whole, in time linear in their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import BROADCAST_IDS, GOLDEN, discard, grams, mix, slices, stash, words_of
+from tidemark.llm.common import BROADCAST_IDS, GOLDEN, discard, grams, mix, slices, stash
 from tidemark.llm.minhash import components
 
 MIN_WORDS = 50
@@ -65,8 +68,52 @@ _PLACE = np.uint64(0xFFFFFF)
 _NEAR = MIN_TOKENS - 1
 
 
+#: White space, and a random odd number for each byte, the same for A-Z and a-z.
+_GAP = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTE = (np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1))[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes that are hashed at a time, and the greatest length of words that are hashed as polynomials.
+_BYTES, _LONG = 1 << 21, 256
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(_BYTES, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What words_of gives for texts in lower case, by other hashes: polynomials of the bytes, without an object for each word."""
+    whole = b"\n".join([*texts, b""])
+    data = np.frombuffer(whole, np.uint8)
+    gap = _GAP[data]
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    begin, end = edge[::2], edge[1::2]
+    up, down = _powers()
+    hashes = np.zeros(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        a = int(begin[first])
+        last = max(first + 1, int(np.searchsorted(end, a + _BYTES, side="right")))
+        some = slice(first, last)
+        if last - first > 1 or end[first] - a <= _LONG:
+            # Neither gaps nor what lies before a word count: the difference of two sums holds the word alone.
+            part = data[a : int(end[last - 1])]
+            sums = np.append(np.uint64(0), np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64))
+            hashes[some] = (sums[end[some] - a] - sums[begin[some] - a]) * down[begin[some] - a]
+        first = last
+    long = np.flatnonzero(end - begin > _LONG)
+    if len(long):
+        named = np.empty(len(long), object)
+        named[:] = [whole[a:b].lower() for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+        hashes[long] = pd.util.hash_array(named, categorize=False)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts = np.searchsorted(begin, np.append(0, ends[:-1])) if texts else np.empty(0, np.int64)
+    return mix(hashes), np.diff(np.append(starts, len(begin))), starts
+
+
 def compact(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of all compact windows of `width` keys, with reach cut to width - 1.  Keys differ; key 0 parts texts."""
+    """(c, l, r) of all compact windows of `width` keys, with reach cut to width - 1.  Keys end in their places; key 0 parts texts."""
     n = len(keys)
     if n < width:
         return (np.empty(0, np.int64),) * 3
@@ -75,10 +122,9 @@ def compact(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     table = padded.reshape(-1, width)
     ahead, behind = np.minimum.accumulate(table, axis=1).ravel(), np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-    at = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    at = at[least[at] > 0]
-    # The minimum of the window that starts at `at` is the only key of that value in it.
-    c = np.unique(np.concatenate([i + (keys[i[:, None] + np.arange(width)] == least[i][:, None]).argmax(axis=1) for i in np.array_split(at, 1 + len(at) // 65536)]))
+    # A minimum holds for neighbouring windows, and the places of minima ascend.
+    least = least[np.append(True, least[1:] != least[:-1])]
+    c = (least[least > 0] & _PLACE).astype(np.int64)
     edge = np.concatenate([np.zeros(width - 1, np.uint64), keys, np.zeros(width - 1, np.uint64)])
     steps = np.arange(1, width)
     left, right = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
@@ -109,7 +155,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1_500_000):
-            hashes, counts, starts = words_of([t.lower() for t in texts])
+            hashes, counts, starts = _words(texts)
             every = grams(hashes, TOKEN)
             if len(every) < MIN_TOKENS:
                 continue
@@ -152,11 +198,10 @@ def _lists(batch: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
 
 
 def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """text and the rows of each text as lists."""
+    """text and the rows of each text as lists.  docs has each text once, and rows differ."""
     names = [c for c in rows.columns if c != "text_hash"]
-    by_text = rows.groupBy("text_hash").agg(F.collect_set(F.struct(*names)).alias("rows"))
-    both = docs.join(by_text, "text_hash").dropDuplicates(["text_hash"])
-    return both.select("text_hash", "text", *[F.col(f"rows.{c}").alias(c) for c in names])
+    by_text = rows.groupBy("text_hash").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    return docs.join(by_text, "text_hash").select("text_hash", "text", *[F.col(f"rows.{c}").alias(c) for c in names])
 
 
 RUNS = "text_hash long, run long, start int"
@@ -168,7 +213,7 @@ def exact_runs(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1_500_000):
-            hashes, _, starts = words_of([t.lower() for t in texts])
+            hashes, _, starts = _words(texts)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams(hashes, TOKEN) ^ GOLDEN), dtype=np.uint64)])
             places, row = _lists(batch, "place")
             places = places.to_numpy()
@@ -196,16 +241,14 @@ def _classes(sides: DataFrame) -> DataFrame:
     w = Window.partitionBy("text_hash").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = before.isNull() | (F.least(before, "end") - F.col("start") + 1 < TOGETHER)
-    ends = sides.select("text_hash", "start", "end").distinct().withColumn("new", new)
-    ends = ends.withColumn("first", F.max(F.when(F.col("new"), F.struct("start", "end"))).over(w))
-    ends = stash(ends.select("text_hash", "start", "end", F.xxhash64("text_hash", "first").alias("node")), "passage-ends")
-    placed = sides.join(ends, ["text_hash", "start", "end"])
+    placed = sides.withColumn("new", new).withColumn("first", F.max(F.when(F.col("new"), F.struct("start", "end"))).over(w))
+    placed = stash(placed.select("link", "text_hash", "start", "end", "similarity", F.xxhash64("text_hash", "first").alias("node")), "passage-ends")
     nodes = placed.select("link", "node").distinct()
     least = nodes.groupBy("link").agg(F.min("node").alias("least"))
     roots = components(nodes.join(least, "link").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
     whole = placed.groupBy("text_hash", "node").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("similarity").alias("similarity"))
     out = stash(whole.join(roots, "node", "left").select("text_hash", "start", "end", F.coalesce("root", "node").alias("class"), "similarity"), "stretches")
-    discard(ends)
+    discard(placed)
     return out
 
 
@@ -221,6 +264,8 @@ def _held(rows: DataFrame, stretches: DataFrame) -> DataFrame:
     return both.select("key", "text_hash", "place", "same", F.when(F.col("one.end") >= F.col("at"), F.col("one.class")).otherwise(own).alias("class"))
 
 
+#: Shingles of the widest window.
+_WIDE = 2 * MIN_TOKENS - 1 + TOKEN - SHINGLE
 CARRIED = "key long, same long, high long, high_place long, class long, blocks int"
 CONTEXTS = f"text_hash long, place long, at int, least int, context array<int>, {CARRIED}"
 
@@ -232,12 +277,9 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1_500_000):
-            hashes, _, starts = words_of([t.lower() for t in texts])
+            hashes, _, starts = _words(texts)
             every = (grams(hashes, SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            order = np.argsort(every, kind="stable")
-            close = np.zeros(len(every), np.int64)
-            close[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (order[1:] - order[:-1] < 2 * MIN_SHINGLES)
-            again = np.concatenate([[0], np.cumsum(close)])
+            different = _distinct(every)
             (places, row), carried = _lists(batch, "place"), [_lists(batch, x.split()[0])[0] for x in CARRIED.split(", ")]
             place = places.to_numpy()
             c, left, right = place >> _TOKEN, place >> _LEFT & 63, place & 63
@@ -247,9 +289,8 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
                 sizes = b - a + 1
                 ends = np.cumsum(sizes)
                 flat = every[np.repeat(starts[r] + a - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-                least = np.minimum(sizes, MIN_SHINGLES)
-                for i in np.flatnonzero(again[starts[r] + b + 1] > again[starts[r] + a]).tolist():
-                    least[i] = _least_distinct(flat[ends[i] - sizes[i] : ends[i]])
+                last = starts[r] + b - MIN_SHINGLES + 1
+                least = different[np.minimum((starts[r] + a)[:, None] + np.arange(_WIDE - MIN_SHINGLES + 1), last[:, None])].min(axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(r)), places.take(pa.array(some)), pa.array((c[some] - a).astype(np.int32)), pa.array(least.astype(np.int32)), lists, *(x.take(pa.array(some)) for x in carried)],
@@ -259,16 +300,21 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return wide.mapInArrow(cut, CONTEXTS)
 
 
-def _least_distinct(x: np.ndarray) -> int:
-    """Least number of different values in MIN_SHINGLES neighbouring ones."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Number of different values in each MIN_SHINGLES neighbouring ones, or in all if there are fewer."""
+    n = max(1, len(x) - MIN_SHINGLES + 1)
     order = np.argsort(x, kind="stable")
     same = x[order[1:]] == x[order[:-1]]
-    if not same.any() or len(x) <= MIN_SHINGLES:
-        return min(len(x), MIN_SHINGLES) if not same.any() else len(np.unique(x))
-    before = np.full(len(x), -1)
-    before[order[1:][same]] = order[:-1][same]
-    starts = np.arange(len(x) - MIN_SHINGLES + 1)
-    return int((before[starts[:, None] + np.arange(MIN_SHINGLES)] < starts[:, None]).sum(axis=1).min())
+    before, after = np.full(len(x), -1), np.full(len(x), len(x))
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    start = np.arange(1, n)
+    step = (before[start + MIN_SHINGLES - 1] < start).astype(np.int64) - (after[start - 1] >= start + MIN_SHINGLES - 1)
+    return np.cumsum(np.append((before[:MIN_SHINGLES] < 0).sum(), step))
+
+
+def _least_distinct(x: np.ndarray) -> int:
+    """Least number of different values in MIN_SHINGLES neighbouring ones."""
+    return int(_distinct(x).min())
 
 
 #: Losses of a shingle that the other text lacks.  A similarity of 0.8 is eight of nine shingles, so at 8 no stretch that is due has a negative sum.
@@ -300,8 +346,9 @@ def aligned(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray
     place = np.arange(wide)
     pad = 2**40 + place
     both = np.concatenate([np.where(place < x_size[:, None], x, pad), np.where(place < y_size[:, None], y, 2 * pad)], axis=1)
-    order = np.argsort(both, axis=1)
-    ranked = np.take_along_axis(both, order, axis=1)
+    bits = int(2 * wide).bit_length()
+    packed = np.sort(both << bits | np.arange(2 * wide), axis=1)
+    order, ranked = packed & (1 << bits) - 1, packed >> bits
     new = np.zeros(both.shape, np.int64)
     new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
     codes = np.empty(both.shape, np.int64)
@@ -340,66 +387,91 @@ def aligned(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray
     return places, similarity
 
 
-#: Shingles of the widest window.
-_WIDE = 2 * MIN_TOKENS - 1 + TOKEN - SHINGLE
 SIDES = "link long, text_hash long, start int, end int, similarity double"
 LINKS = f"{SIDES}, key long, same long, from int, to int, core boolean"
 _INTS = ["key", "same", "text_hash", "place", "high", "high_place", "class", "at", "least"]
 
 
-def _counted(owner: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of owners (as x * n + y, x < y) that have codes in common, and how many.  Each owner has a code once."""
-    order = np.lexsort((owner, codes))
-    owner, codes = owner[order], codes[order]
+def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places x < y of all entries that have one code; codes ascend."""
     ends = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
     after = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes))
-    other = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + np.repeat(np.arange(1, len(codes) + 1), after)
-    return np.unique(np.repeat(owner, after) * n + owner[other], return_counts=True)
+    y = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after) + np.repeat(np.arange(1, len(codes) + 1), after)
+    return np.repeat(np.arange(len(codes)), after), y
 
 
 def _in_common(owner: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y, count of all pairs x < y of n owners that have codes in common."""
-    _, codes, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    often = counts[codes] > RARE
-    pairs, count = _counted(owner[~often], codes[~often], n) if not often.all() else (np.empty(0, np.int64),) * 2
-    if not often.any():
-        return pairs // n, pairs % n, count
-    total = np.zeros((n, n), np.float32)
-    owner, (_, codes) = owner[often], np.unique(codes[often], return_inverse=True)
-    for first in range(0, int(codes.max()) + 1, 4096):
-        some = (codes >= first) & (codes < first + 4096)
-        held = np.zeros((n, 4096), np.float32)
-        held[owner[some], codes[some] - first] = 1
-        total += held @ held.T
-    total.ravel()[pairs] += count
+    """x, y, count of all pairs x < y of n owners that have codes in common; codes ascend, and the owners of each."""
+    codes = np.cumsum(np.append(False, codes[1:] != codes[:-1]))
+    often = np.bincount(codes)[codes] > RARE
+    x, y = _pairs(codes[~often]) if not often.all() else (np.empty(0, np.int64),) * 2
+    total = np.bincount(owner[~often][x] * n + owner[~often][y], minlength=n * n).astype(np.float32).reshape(n, n)
+    if often.any():
+        owner, codes = owner[often], np.cumsum(np.append(False, np.diff(codes[often]) > 0))
+        for first in range(0, int(codes[-1]) + 1, 4096):
+            a, b = np.searchsorted(codes, (first, first + 4096))
+            held = np.zeros((n, int(codes[b - 1]) - first + 1), np.float32)
+            held[owner[a:b], codes[a:b] - first] = 1
+            total += held @ held.T
     x, y = np.nonzero(np.triu(total, 1))
     return x, y, total[x, y].astype(np.int64)
 
 
+def _entries(run: np.ndarray, owner: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and code of every different shingle of each row, by run, shingle and owner; codes are numbers of run and shingle."""
+    first = np.searchsorted(run, run)
+    bits = int(np.max(np.arange(len(run)) - first)).bit_length()
+    shingles = shingles.view(np.uint32)
+    if 32 + bits + int(run[-1]).bit_length() > 64:
+        order = np.lexsort((owner, shingles, run[owner]))
+        owner, shingles = owner[order], shingles[order]
+        differ = (shingles[1:] != shingles[:-1]) | (run[owner[1:]] != run[owner[:-1]])
+        new = np.append(True, differ | (owner[1:] != owner[:-1]))
+        return owner[new], np.cumsum(np.append(False, differ))[new]
+    high = (run.astype(np.uint64) << np.uint64(32 + bits)) | (np.arange(len(run)) - first).astype(np.uint64)
+    packed = np.sort(high[owner] | shingles.astype(np.uint64) << np.uint64(bits))
+    packed = packed[np.append(True, packed[1:] != packed[:-1])]
+    code = packed >> np.uint64(bits)
+    start = np.searchsorted(run, np.arange(int(run[-1]) + 1))
+    owner = start[(code >> np.uint64(32)).astype(np.int64)] + (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return owner, np.cumsum(np.append(False, code[1:] != code[:-1]))
+
+
 def _candidates(run: np.ndarray, owner: np.ndarray, shingles: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x, y, count of the pairs of rows of a run that have at least enough[x] and enough[y] shingles in common.  run ascends."""
-    entries = np.unique(run[owner].astype(np.uint64) << np.uint64(32) | shingles.view(np.uint32).astype(np.uint64), return_inverse=True)[1]
-    both = np.unique(entries * len(run) + owner)
-    codes, owner = both // len(run), both % len(run)
+    none = (np.empty(0, np.int64),) * 3
+    if not len(shingles):
+        return none
+    owner, codes = _entries(run, owner, shingles)
     while True:  # what only one row has, and rows that cannot have enough without it
         often = np.bincount(codes)[codes] > 1
         often &= (np.bincount(owner[often], minlength=len(run)) >= enough)[owner]
         if often.all():
             break
         codes, owner = codes[often], owner[often]
-    out = []
-    if len(codes):
-        sizes = np.bincount(run)
-        small = sizes[run[owner]] <= 2 * RARE
-        if small.any():
-            pairs, count = _counted(owner[small], codes[small], len(run))
-            out.append((pairs // len(run), pairs % len(run), count))
-        for k in np.unique(run[owner[~small]]).tolist():
-            first = int(np.searchsorted(run, k))
-            some = run[owner] == k
-            x, y, count = _in_common(owner[some] - first, codes[some], int(sizes[k]))
-            out.append((x + first, y + first, count))
-    x, y, count = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+    if not len(codes):
+        return none
+    sizes = np.bincount(run)
+    first = np.cumsum(sizes) - sizes
+    out, small = [], sizes[run[owner]] <= 2 * RARE
+    if small.any():
+        some, (x, y) = owner[small], _pairs(codes[small])
+        x, y = some[x], some[y]
+        room = np.where(sizes <= 2 * RARE, sizes * sizes, 0)
+        base = np.cumsum(room) - room
+        k = run[x]
+        count = np.bincount(base[k] + (x - first[k]) * sizes[k] + y - first[k], minlength=room.sum())
+        at = np.flatnonzero(count)
+        k = np.searchsorted(base + room, at, side="right")
+        rest = at - base[k]
+        out.append((first[k] + rest // sizes[k], first[k] + rest % sizes[k], count[at]))
+    large, many = owner[~small], codes[~small]
+    ends = np.flatnonzero(np.append(np.diff(run[large]) > 0, len(large) > 0)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+        k = run[large[a]]
+        x, y, count = _in_common(large[a:b] - first[k], many[a:b], int(sizes[k]))
+        out.append((x + first[k], y + first[k], count))
+    x, y, count = (np.concatenate(z) for z in zip(*out, strict=True))
     keep = count >= np.maximum(enough[x], enough[y])
     return x[keep], y[keep], count[keep]
 
@@ -421,6 +493,46 @@ def _joined(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root[labels]
 
 
+class _Kept:
+    """Which of the verified links say anything new, so that their number does not grow with the square of a group.
+
+    A passage around a minimum has the TOGETHER shingles that end there, or those that begin there.  Those that have the
+    same ones are one stretch.  So a link is needless if what it links is linked already, either side lies inside the stretches
+    so far, and it is the best of no content that stands for further texts.
+    """
+
+    def __init__(self, at: np.ndarray, shared: np.ndarray) -> None:
+        self.at, self.shared = at.tolist(), shared.tolist()
+        n = 2 * len(at)
+        self.root, self.low, self.high = list(range(n)), [_WIDE] * n, [-1] * n
+        self.best = [(False, 0.0)] * len(at)
+
+    def _find(self, a: int) -> int:
+        root = self.root
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    def these(self, u: np.ndarray, v: np.ndarray, places: np.ndarray, whole: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+        out, at, low, high = np.zeros(len(u), bool), self.at, self.low, self.high
+        for k, (x, y, (a, b, c, d), *good) in enumerate(zip(u.tolist(), v.tolist(), places.tolist(), whole.tolist(), similarity.tolist(), strict=True)):
+            good, new, nodes = tuple(good), False, []
+            for w, start, end in ((x, a, b), (y, c, d)):
+                for node, holds in ((2 * w, start <= at[w] - TOGETHER + 1), (2 * w + 1, end >= at[w] + TOGETHER - 1)):
+                    if holds:
+                        nodes.append(self._find(node))
+                        if start < low[node] or end > high[node]:
+                            new, low[node], high[node] = True, min(low[node], start), max(high[node], end)
+                if self.shared[w] and good > self.best[w]:
+                    new, self.best[w] = True, good
+            least = min(nodes)
+            if new or max(nodes) != least:
+                out[k] = True
+                for node in nodes:
+                    self.root[node] = least
+        return out
+
+
 def _met(rows: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
     """Sides of the links between contexts of the same key and blocks; rows are sorted by them, none is cut."""
     get = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
@@ -439,6 +551,7 @@ def _met(rows: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(size)
     core = np.clip(at - TOGETHER // 2, 0, size - TOGETHER)
     values, many = shingles.to_numpy(), 1
+    kept = _Kept(at, text != high)
 
     def padded(some: np.ndarray) -> np.ndarray:
         out = np.zeros((len(some), _WIDE), np.int64)
@@ -452,16 +565,18 @@ def _met(rows: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
         x, y = x[left], y[left]
         if not len(x):
             return
-        # The likeliest pairs of any two classes first, ever more of them, as one link makes the rest needless.
-        a, b = np.minimum(labels[x], labels[y]), np.maximum(labels[x], labels[y])
-        order = np.lexsort((np.arange(len(x)), b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        rank = np.empty(len(x), np.int64)
-        rank[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        now = np.flatnonzero(rank < many)
-        many *= 4
+        # The likeliest pairs of any class first, ever more of them, as one link makes the rest between two classes needless.
+        both = np.concatenate([labels[x], labels[y]])
+        order = np.argsort(both * len(x) + np.tile(np.arange(len(x)), 2))
+        new = np.append(True, np.diff(both[order]) > 0)
+        rank = np.empty(len(both), np.int64)
+        rank[order] = np.arange(len(both)) - np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))
+        now = np.flatnonzero(rank.reshape(2, -1).min(axis=0) < many)
+        many *= 2
         for begin in range(0, len(now), 4096):
             u, v = x[now[begin : begin + 4096]], y[now[begin : begin + 4096]]
+            apart = labels[u] != labels[v]
+            u, v = u[apart], v[apart]
             places, similarity = aligned(padded(u), padded(v), size[u], size[v], at[u], at[v], least)
             ok = similarity > 0
             u, v, places, similarity = u[ok], v[ok], places[ok], similarity[ok]
@@ -470,13 +585,15 @@ def _met(rows: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
                 whole &= (places[:, k] <= core[w]) & (places[:, k + 1] >= core[w] + TOGETHER - 1)
             if whole.any():
                 labels = _joined(labels, u[whole], v[whole])
+            say = kept.these(u, v, places, whole, similarity)
+            u, v, places, similarity, whole = u[say], v[say], places[say], similarity[say], whole[say]
             link = mix(mix(same[u].view(np.uint64)) + same[v].view(np.uint64) * GOLDEN + key[u].view(np.uint64)).view(np.int64)
             for k, w in ((0, u), (2, v)):
                 start, end = places[:, k] - at[w], places[:, k + 1] - at[w]
-                for of, c in ((text[w], place[w] >> _TOKEN), (high[w], high_place[w] >> _TOKEN)):
-                    ints = [pa.array(n.astype(np.int32)) for n in (c + start, c + end)]
+                for of, c, which in ((text[w], place[w] >> _TOKEN, slice(None)), (high[w], high_place[w] >> _TOKEN, high[w] != text[w])):
+                    ints = [pa.array(n[which].astype(np.int32)) for n in (c + start, c + end)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(link), pa.array(of), *ints, pa.array(similarity), pa.array(key[w]), pa.array(same[w]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(whole)], [n.split()[0] for n in LINKS.split(", ")]
+                        [pa.array(link[which]), pa.array(of[which]), *ints, pa.array(similarity[which]), pa.array(key[w][which]), pa.array(same[w][which]), pa.array(start[which].astype(np.int32)), pa.array(end[which].astype(np.int32)), pa.array(whole[which])], [n.split()[0] for n in LINKS.split(", ")]
                     )
         tested = np.zeros(len(x), bool)
         tested[now] = True
@@ -506,7 +623,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator
 def near_links(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Sides of the verified links between rows (key, text_hash, place, same, class) of one key: SIDES.
 
-    Rows of one content are met as one.  Every link has the first and the last text of either content, and a content's
+    A key is done if one class or one text has all its rows.  Rows of one content are met as one.  Every link has the first and the last text of either content, and a content's
     best link has all its rows.
     """
     one = rows.groupBy("key", "same").agg(
@@ -529,19 +646,23 @@ def near_links(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     found = stash(around.mapInArrow(meet, LINKS), "near-links")
     best = found.groupBy("key", "same").agg(F.max_by(F.struct("link", "from", "to", "similarity"), F.struct("core", "similarity", "link")).alias("best"))
-    at = F.shiftright("place", _TOKEN)
-    members = rows.join(best, ["key", "same"]).select("best.link", "text_hash", (at + F.col("best.from")).cast("int").alias("start"), (at + F.col("best.to")).cast("int").alias("end"), "best.similarity")
     # Rows of one content and several classes are one passage: their whole windows.
-    mixed = one.where("class <> last and text_hash <> high").select("key", "same")
+    mixed = one.where("class <> last and text_hash <> high").select("key", "same", F.lit(True).alias("mixed"))
+    said = best.withColumn("mixed", F.lit(False)).unionByName(mixed, allowMissingColumns=True)
+    said = said.groupBy("key", "same").agg(F.max("best").alias("best"), F.max("mixed").alias("mixed"))
+    at = F.shiftright("place", _TOKEN)
     reach = F.shiftright("place", _LEFT).bitwiseAND(F.lit(63)), F.col("place").bitwiseAND(F.lit(63)) + TOKEN - SHINGLE
-    equal = rows.join(mixed, ["key", "same"]).select(F.xxhash64("key", "same").alias("link"), "text_hash", (at - reach[0]).cast("int").alias("start"), (at + reach[1]).cast("int").alias("end"), F.lit(1.0).alias("similarity"))
-    out = stash(found.select(*members.columns).union(members).union(equal).distinct(), "near-sides")
+    side = lambda link, start, end, similarity: F.struct(link.alias("link"), "text_hash", start.cast("int").alias("start"), end.cast("int").alias("end"), similarity.alias("similarity"))
+    equal = F.when(F.col("mixed"), side(F.xxhash64("key", "same"), at - reach[0], at + reach[1], F.lit(1.0)))
+    member = F.when(F.col("best").isNotNull(), side(F.col("best.link"), at + F.col("best.from"), at + F.col("best.to"), F.col("best.similarity")))
+    members = rows.join(said, ["key", "same"]).select(F.inline(F.array_compact(F.array(member, equal))))
+    out = stash(found.select(*members.columns).union(members).distinct(), "near-sides")
     discard(found)
     discard(one)
     return out
 
 
-EDGES = "text_hash long, at int, side int, steps int, content long"
+EDGES = "text_hash long, at int, side int, contents array<long>"
 
 
 def moved_ends(stretches: DataFrame, exact: DataFrame, docs: DataFrame) -> DataFrame:
@@ -555,23 +676,27 @@ def moved_ends(stretches: DataFrame, exact: DataFrame, docs: DataFrame) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1_500_000):
-            hashes, counts, starts = words_of([t.lower() for t in texts])
+            hashes, counts, starts = _words(texts)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams(hashes, SHINGLE) ^ GOLDEN), dtype=np.uint64)])
             (first, row), (side, _) = _lists(batch, "start"), _lists(batch, "side")
             first, side = first.to_numpy().astype(np.int64), side.to_numpy()
-            n = counts[row] - SHINGLE + 1
-            for steps in range(1, GRID):
-                a = np.where(side == 0, first - steps, first + steps)  # a passage of the least length, moved outward
-                ok = np.flatnonzero((a >= 0) & (a + MIN_SHINGLES <= n))
-                base = starts[row[ok]] + a[ok]
-                content = mix(sums[base + MIN_SHINGLES] - sums[base])
-                at = np.where(side == 0, first, first + MIN_SHINGLES - 1)[ok]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[ok])), pa.array(at.astype(np.int32)), pa.array(side[ok]), pa.array(np.full(len(ok), steps, np.int32)), pa.array(content.view(np.int64))], [x.split()[0] for x in EDGES.split(", ")])
+            room = np.minimum(GRID - 1, np.where(side == 0, first, counts[row] - SHINGLE + 1 - MIN_SHINGLES - first))
+            ends = np.cumsum(room)
+            steps = np.arange(1, ends[-1] + 1 if len(ends) else 1) - np.repeat(ends - room, room)
+            # Passages of the least length, moved outward.
+            base = np.repeat(starts[row] + first, room) + np.where(np.repeat(side, room) == 0, -steps, steps)
+            content = mix(sums[base + MIN_SHINGLES] - sums[base])
+            contents = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(content.view(np.int64)))
+            at = np.where(side == 0, first, first + MIN_SHINGLES - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(side), contents], [x.split()[0] for x in EDGES.split(", ")])
 
     edges = stash(rows.mapInArrow(cut, EDGES), "edges")
-    goes_on = edges.groupBy("content").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("content")
-    moved = edges.join(goes_on, "content").groupBy("text_hash", "at", "side").agg(F.max("steps").alias("steps"))
-    moved = stash(moved, "moved-ends")
+    # What goes on alike is counted as one; only ends of stretches need to know how far.
+    alike = edges.groupBy("contents").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    goes_on = alike.select(F.explode("contents").alias("content"), "low", "high").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("content")
+    own = stretches.select("text_hash", F.col("start").alias("at"), F.lit(0).alias("side")).union(stretches.select("text_hash", "end", F.lit(1))).distinct()
+    moved = edges.join(own, ["text_hash", "at", "side"]).select("text_hash", "at", "side", F.posexplode("contents").alias("pos", "content"))
+    moved = stash(moved.join(goes_on, "content").groupBy("text_hash", "at", "side").agg((F.max("pos") + 1).alias("steps")), "moved-ends")
     discard(edges)
     back = moved.where("side = 0").select("text_hash", F.col("at").alias("start"), F.col("steps").alias("back"))
     on = moved.where("side = 1").select("text_hash", F.col("at").alias("end"), F.col("steps").alias("on"))
@@ -580,10 +705,25 @@ def moved_ends(stretches: DataFrame, exact: DataFrame, docs: DataFrame) -> DataF
     return out.select("text_hash", (F.col("start") - F.coalesce("back", zero)).alias("start"), (F.col("end") + F.coalesce("on", zero)).alias("end"), "class", "similarity")
 
 
-def sides(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs with text_hash; exact runs; and the ends of all links between texts.  Both: link, text_hash, start, end (in shingles, inclusive), similarity."""
+def _once(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text_hash, text of every different text (docs: doc_id, text_hash, text; ids: without text)."""
+    copied = ids.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("of"), "first")
+    copied = stash(copied, "copies")
+    some = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied
+    texts = stash(docs.join(some, F.col("text_hash") == F.col("of"), "left").where("of is null or doc_id <=> first").select("text_hash", "text"), "texts")
+    discard(copied)
+    if texts.groupBy("text_hash").count().where("count > 1").isEmpty():
+        return texts
+    once = stash(texts.dropDuplicates(["text_hash"]), "texts")  # rows that repeat doc_id and text
+    discard(texts)
+    return once
+
+
+def sides(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """doc_id and text_hash; every text once; exact runs; and the ends of all links between texts.  Both: link, text_hash, start, end (in shingles, inclusive), similarity."""
     docs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    bare = docs.select("text_hash", "text")
+    ids = stash(docs.select("doc_id", "text_hash"), "ids")
+    bare = _once(docs, ids)
     every = stash(windows(bare), "all-windows")
     found = stash(_shared(every), "windows")
     discard(every)
@@ -596,13 +736,10 @@ def sides(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame, Da
     stretches = _classes(exact)
     held = stash(_held(found, stretches), "held")
     discard(found)
-    open_keys = held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("low <> high and a <> b").select("key")
-    left = stash(held.join(open_keys, "key"), "open")
+    near = near_links(held, bare, least)
     discard(held)
-    near = near_links(left, bare, least)
-    discard(left)
     names = ["link", "text_hash", "start", "end", "similarity"]
-    return docs, exact, stretches.select(F.col("class").alias("link"), "text_hash", "start", "end", "similarity").union(near.select(*names))
+    return ids, bare, exact, stretches.select(F.col("class").alias("link"), "text_hash", "start", "end", "similarity").union(near.select(*names))
 
 
 def passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -611,9 +748,9 @@ def passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Passages of one class_id are linked, directly or over others; class_id is the smallest doc_id among
     them, and similarity the least of the links by which a passage came in.
     """
-    docs, exact, ends = sides(docs, least)
-    stretches = stash(moved_ends(_classes(ends), exact, docs.select("text_hash", "text")), "moved")
-    members = docs.select("doc_id", "text_hash").distinct()
+    ids, texts, exact, ends = sides(docs, least)
+    stretches = stash(moved_ends(_classes(ends), exact, texts), "moved")
+    members = ids.distinct()
     sized = members.groupBy("text_hash").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     first = stretches.select("class", "text_hash").join(sized, "text_hash").groupBy("class").agg(F.min("class_id").alias("class_id"))
     words = members.join(stretches, "text_hash").join(first, "class").select("doc_id", F.col("start").cast("long").alias("start_word"), (F.col("end") + SHINGLE).cast("long").alias("end_word"), "class_id", "similarity")
@@ -623,7 +760,9 @@ def passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64())], ["doc_id", "class_id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64())], ["text_hash", "class_id", "n"])
 
-    whole = docs.join(some, "text_hash").select("doc_id", "class_id", "text").mapInArrow(count, "doc_id long, class_id long, n long").where(F.col("n") >= MIN_WORDS)
-    return words.union(whole.distinct().select("doc_id", F.lit(0).cast("long"), "n", "class_id", F.lit(1.0)))
+    counted = texts.join(some, "text_hash").select("text_hash", "class_id", "text").mapInArrow(count, "text_hash long, class_id long, n long").where(F.col("n") >= MIN_WORDS)
+    whole = stash(counted, "whole-texts")
+    discard(texts)
+    return words.union(members.join(whole, "text_hash").select("doc_id", F.lit(0).cast("long"), "n", "class_id", F.lit(1.0)))
